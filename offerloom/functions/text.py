@@ -39,6 +39,15 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def computed(df, columns: dict):
+    """Add columns that are evaluated exactly once per row. They come out of a one-row
+    generator, so a filter or projection above reads the result; with plain projections the
+    optimizer would push a filter below them and repeat long expressions inside it."""
+    row = F.struct(*[v.alias(f"_new_{k}") for k, v in columns.items()])
+    return df.select("*", F.inline(F.array(row))).drop(*columns).withColumnsRenamed(
+        {f"_new_{k}": k for k in columns})
+
+
 def squeeze(c) -> Column:
     return F.regexp_replace(F.regexp_replace(blank(c), f"{SPACE}+", " "), "^ | $", "")
 

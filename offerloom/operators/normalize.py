@@ -15,17 +15,17 @@ from .ranking import with_keys
 def screen_offers(raw: DataFrame, profile: Profile = DEFAULT, rates: DataFrame | None = None,
                   day_col: str | None = None) -> DataFrame:
     """Every raw row with the first failing rule in `reason` (NULL = accepted) and the
-    normalized columns. Nothing is dropped. Steps that later steps use several times are
-    columns of their own, so each is evaluated once."""
+    normalized columns. Nothing is dropped. The costly steps are computed once per row and
+    their results reused by the rules, by filters on `reason` and by the counters."""
     c = F.col
-    d = raw.withColumn("name", tx.strip_title_badge(c("name")))
-    d = d.withColumns({
+    d = tx.computed(raw, {"name": tx.strip_title_badge(c("name"))})
+    d = tx.computed(d, {
         "_brand": tx.match_brand(c("brand"), c("name"), profile.brands),
         "eligible": (tx.blank(c("name")) != "") & tx.is_eligible(c("name"), c("description")),
         "rrp_verified": sc.rrp_verified(c("price"), c("rrp"), c("rrp_source")),
         "discount_verified": sc.discount_verified(c("observed_discount_pct"), c("discount_source"))})
     d = d.withColumn("price_evidence", c("eligible") & (c("rrp_verified") | c("discount_verified")))
-    d = d.withColumn("_early", F.coalesce(
+    d = tx.computed(d, {"_early": F.coalesce(
         F.when(tx.blank(c("name")) == "", F.lit("name-missing")),
         F.when(c("_brand") == "", F.lit("brand-not-allowed")),
         F.when(tx.blank(c("currency")) == "", F.lit("currency-missing")),
@@ -33,9 +33,9 @@ def screen_offers(raw: DataFrame, profile: Profile = DEFAULT, rates: DataFrame |
         F.when(~c("rrp_verified") & ~c("discount_verified"), F.lit("discount-unverified")),
         F.when(~c("eligible"), F.lit("product-mismatch")),
         F.when(tx.is_sold_out(c("availability")), F.lit("sold-out")),
-        F.when(tx.colour_excluded(c("color"), profile.excluded_colours), F.lit("excluded-color"))))
-    d = d.withColumn("_size", F.when(c("_early").isNull(), sz.size_evidence(
-        c("sizes"), sz.size_system(c("merchant_country")), profile)))
+        F.when(tx.colour_excluded(c("color"), profile.excluded_colours), F.lit("excluded-color")))})
+    d = tx.computed(d, {"_size": F.when(c("_early").isNull(), sz.size_evidence(
+        c("sizes"), sz.size_system(c("merchant_country")), profile))})
     d = to_eur(d, rates, day_col)
     d = d.withColumn("reason", F.coalesce(
         c("_early"), F.when(c("_size") == "no", F.lit("incompatible-size")),

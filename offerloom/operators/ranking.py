@@ -49,17 +49,16 @@ def fresh(df: DataFrame, ts: str, now, age: Column) -> DataFrame:
 def with_keys(offers: DataFrame) -> DataFrame:
     """Adds offer_key (F20), model_key (F21) and hide_key."""
     c = F.col
-    return (offers
-            .withColumn("offer_key", ur.offer_key(c("source_id"), c("url"), c("brand"), c("name"), c("color")))
-            .withColumn("model_key", ur.model_key(c("brand"), c("name"), c("color"), c("offer_key")))
-            .withColumn("hide_key", ur.hide_key(c("model_key"))))
+    d = tx.computed(offers, {"offer_key": ur.offer_key(c("source_id"), c("url"), c("brand"), c("name"), c("color"))})
+    d = tx.computed(d, {"model_key": ur.model_key(c("brand"), c("name"), c("color"), c("offer_key"))})
+    return tx.computed(d, {"hide_key": ur.hide_key(c("model_key"))})
 
 
 def _keyed(offers: DataFrame) -> DataFrame:
     return offers if "model_key" in offers.columns else with_keys(offers)
 
 
-def best_per_offer(offers: DataFrame) -> DataFrame:
+def best_per_offer(offers: DataFrame, scope=()) -> DataFrame:
     """The best-evidenced row of every offer key; `first_seq` is the key's first row.
 
     An aggregation instead of a window: each task sends one row per key."""
@@ -72,10 +71,11 @@ def best_per_offer(offers: DataFrame) -> DataFrame:
             + F.coalesce(c("size_fit") == "confirmed", F.lit(False)).cast("int"))
     order = F.struct((-rank).alias("a"), (-c("score")).alias("b"), c("effective_cost_eur").alias("c"),
                      c("seq").alias("d"))
-    payload = [x for x in rows.columns if x != "offer_key"]
-    return (rows.groupBy("offer_key")
+    keys = [*scope, "offer_key"]
+    payload = [x for x in rows.columns if x not in keys]
+    return (rows.groupBy(*keys)
             .agg(F.min_by(F.struct(*payload), order).alias("r"), F.min("seq").alias("first_seq"))
-            .select("offer_key", "r.*", "first_seq"))
+            .select(*keys, "r.*", "first_seq"))
 
 
 def qualifies(minimum: float) -> Column:
@@ -101,7 +101,7 @@ def best_per_model(best: DataFrame, minimum: float = fv.MIN_DISCOUNT_PCT, scope=
 
 
 def rank_models(offers: DataFrame, minimum: float = fv.MIN_DISCOUNT_PCT, scope=()) -> DataFrame:
-    return best_per_model(best_per_offer(offers), minimum, scope)
+    return best_per_model(best_per_offer(offers, scope), minimum, scope)
 
 
 def deals_of(ranked: DataFrame) -> DataFrame:
