@@ -146,24 +146,17 @@ SIZE_NEAR_LETTER = r"^(?:M\s*/\s*L|L\s*/\s*XL|M-L|L-XL)$"
 SIZE_OTHER_LETTER = (
     r"^(?:XXS|XS|S|SMALL|M|MEDIUM|XL|X-LARGE|XXL|XXXL|[2-6]XL|[2-6]X)"
     r"(?:\s*[-/]?\s*(?:REG(?:ULAR)?|R|SHORT|S|LONG|L|KURZ|LANG|T|TALL))?$")
-SIZE_WAIST_INSEAM = [
-    r"^(?:W(?:AIST)?\s*)?(\d{2})\s*(?:/|X|-|\s)\s*(?:L(?:ENGTH|ÄNGE)?\s*)?(\d{2})$",
-    r"^W(?:AIST)?\s*(\d{2})\s*L(?:ENGTH)?\s*(\d{2})$",
-]
-SIZE_SHORT_NUMBER = [
-    r"^(?:KURZ(?:GRÖSSE|GROESSE)?|K)\s*(\d{2})$",
-    r"^(\d{2})\s*(?:K|KURZ|KURZGRÖSSE|KURZGROESSE|SHORT FIT|UNTERSETZT)$",
-]
-SIZE_WAIST_CUT = (
-    r"^(?:W(?:AIST)?\s*)?(\d{2})\s*[-/]?\s*(R|REG|REGULAR|S|SHORT|K|KURZ|L|LONG|LANG|T|TALL)$")
+SIZE_WAIST_WORDS = ["W", "WAIST"]
+SIZE_PAIR_MARKS = ["/", "X", "-"]
+SIZE_LENGTH_WORDS = ["", "L", "LENGTH", "LÄNGE"]
+SIZE_SHORT_MARKS = {
+    "before": ["K", "KURZ", "KURZGRÖSSE", "KURZGROESSE"],
+    "after": ["K", "KURZ", "KURZGRÖSSE", "KURZGROESSE", "SHORT FIT", "UNTERSETZT"],
+}
+SIZE_WAIST_CUTS = ["R", "REG", "REGULAR", "S", "SHORT", "K", "KURZ", "L", "LONG", "LANG", "T", "TALL"]
 SIZE_WAIST_LONG_CUTS = ["L", "LONG", "LANG", "T", "TALL"]
-SIZE_WAIST_ONLY = r"^(?:W(?:AIST)?|UK|US)\s*(\d{2})$"
-SIZE_LONG_NUMBER = (
-    r"^(?:(?:LANG(?:GRÖSSE|GROESSE)?|DE|EU)\s*)?(9[0-9]|1[01][0-9])(?:\s*(?:LANG|LANGGRÖSSE|LANGGROESSE))?$")
-SIZE_FRENCH = [r"^FR\s*(\d{2})$", r"^(\d{2})\s*FR$"]
-SIZE_ITALIAN = [r"^IT\s*(\d{2})$", r"^(\d{2})\s*IT$"]
-SIZE_D_NUMBER = r"^D\s*(9[0-9]|1[01][0-9])$"
-SIZE_NUMBER = r"^(?:(EU|DE|D|GER)\s*)?(\d{2})$"
+SIZE_LONG_MARKS = ["LANG", "LANGGRÖSSE", "LANGGROESSE"]
+SIZE_EU_MARKS = ["EU", "DE", "D", "GER"]
 SIZE_SHAPED_PATTERN = (
     r"^(?:W?\d{2,3}(?:\s*[/X]\s*L?\d{2})?|(?:EU|DE)\s*\d{2}|XXS|XS|S|M|L|XL|XXL|[2-5]XL)$")
 # Letters of a range like "S-4XL", in order.

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..settings import DEFAULT, Profile
-from .text import SPACE, any_of, blank, let, squeeze, whole_word
+from .text import EDGE, SPACE, blank, let, squeeze
 
 TARGET, NEAR, OTHER, UNKNOWN = "target", "near", "incompatible", "unknown"
 
@@ -13,78 +13,96 @@ def _clean(label) -> Column:
     """Upper case without size words, inch marks and region suffixes."""
     c = squeeze(F.upper(blank(label)))
     c = F.regexp_replace(c, fv.SIZE_PREFIX_PATTERN, "")
-    c = F.trim(F.regexp_replace(c, fv.SIZE_INCH_SUFFIX_PATTERN, ""))
-    return F.trim(F.regexp_replace(c, fv.SIZE_REGION_SUFFIX_PATTERN, ""))
+    return F.trim(F.regexp_replace(c, f"(?:{fv.SIZE_INCH_SUFFIX_PATTERN})", ""))
 
 
 def _resolve_cut(c) -> Column:
-    """"52 - Regular" -> "52"; a long cut is judged at once; "L (52)" -> "L"."""
-    cut = rf"^(.+?)\s*-\s*{any_of(fv.SIZE_CUTS)}$"
-    long_cut = rf"^(.+?)\s*-\s*{any_of(fv.SIZE_LONG_CUTS)}$"
+    """"52 - Regular (EU)" -> "52"; a long cut is judged at once; "L (52)" -> "L"."""
+    c = F.when(c.contains("("), F.trim(F.regexp_replace(c, fv.SIZE_REGION_SUFFIX_PATTERN, ""))).otherwise(c)
+    cut = rf"^(.+?)\s*-\s*({'|'.join(fv.SIZE_CUTS)})$"
     letter_first = rf"^({'|'.join(fv.SIZE_LETTERS)})\s*(?:\(|/\s*(?:EU|DE)(?![A-Za-z0-9_])).*$"
-    base = F.trim(F.regexp_extract(c, cut, 1))
-    rest = F.when(base != "", base).otherwise(c)
-    return F.struct(
-        F.regexp_replace(rest, letter_first, "$1").alias("text"),
-        F.when(c.rlike(long_cut), F.when(
-            base.rlike(r"^(?:(?:EU|DE)\s*)?\d{2}$|^L$"), F.lit(OTHER)).otherwise(F.lit(UNKNOWN)))
-        .alias("verdict"))
 
+    def split_cut(x):
+        base = F.trim(F.regexp_extract(x, cut, 1))
+        is_long = F.regexp_extract(x, cut, 2).isin(*fv.SIZE_LONG_CUTS)
+        return F.when(base != "", F.struct(base.alias("text"), F.when(is_long, F.when(
+            base.rlike(r"^(?:(?:EU|DE)\s*)?\d{2}$|^L$"), F.lit(OTHER)).otherwise(F.lit(UNKNOWN))).alias("verdict")))
 
-def _numbers(text, patterns, group=1) -> Column:
-    return F.coalesce(*[F.regexp_extract(text, p, group).try_cast("int") for p in patterns])
+    whole = F.struct(c.alias("text"), F.lit(None).cast("string").alias("verdict"))
+    out = F.coalesce(F.when(c.contains("-"), split_cut(c)), whole)
+    return F.when(c.rlike(r"[(/]"), F.struct(
+        F.regexp_replace(out["text"], letter_first, "$1").alias("text"), out["verdict"].alias("verdict"))).otherwise(out)
+
+
+def _letters(text: Column) -> Column:
+    return (F.when(text.rlike(fv.SIZE_LONG_LETTER), F.lit(OTHER))
+            .when(text.rlike(fv.SIZE_TARGET_LETTER), F.lit(TARGET))
+            .when(text.rlike(fv.SIZE_NEAR_LETTER), F.lit(NEAR))
+            .when(text.rlike(fv.SIZE_OTHER_LETTER), F.lit(OTHER))
+            .otherwise(F.lit(UNKNOWN)))
 
 
 def _near_if(n, good) -> Column:
-    return F.when(n.isNotNull(), F.when(n.isin(*good), F.lit(NEAR)).otherwise(F.lit(OTHER)))
-
-
-def _judge(text: Column, system: Column, profile: Profile) -> Column:
-    """The rule table: every rule answers or stays NULL, the first answer counts."""
-    waist, inseam = (_numbers(text, fv.SIZE_WAIST_INSEAM, g) for g in (1, 2))
-    short = _numbers(text, fv.SIZE_SHORT_NUMBER)
-    cut_waist = _numbers(text, [fv.SIZE_WAIST_CUT])
-    cut = F.regexp_extract(text, fv.SIZE_WAIST_CUT, 2)
-    long_number = _numbers(text, [fv.SIZE_LONG_NUMBER])
-    d_number = _numbers(text, [fv.SIZE_D_NUMBER])
-    marked = F.regexp_extract(text, fv.SIZE_NUMBER, 1) != ""
-    n = _numbers(text, [fv.SIZE_NUMBER], 2)
+    return F.when(n.isin(*good), F.lit(NEAR)).otherwise(F.lit(OTHER))
+
+
+def _numbers(p: Column, system: Column, profile: Profile) -> Column:
+    """The rule table for labels with a number, split into [before, number, between, number,
+    after]. Rules compare these pieces; the first rule that answers counts."""
+    before, between = F.trim(p[0]), F.trim(p[2])
+    n, m = p[1].try_cast("int"), p[3].try_cast("int")
+    two, one = F.length(p[1]) == 2, (p[3] == "") & (p[4] == "")
+    bare = one & (between == "")
+    waist_word = before.isin(*fv.SIZE_WAIST_WORDS)
+    maybe_waist = waist_word | (before == "")
+    joint = F.replace(p[2], F.lit(" "), F.lit(""))
+    pair = (two & (F.length(p[3]) == 2) & (p[4] == "") & maybe_waist & (
+        joint.isin(*[s + w for s in fv.SIZE_PAIR_MARKS for w in fv.SIZE_LENGTH_WORDS])
+        | (p[2].contains(" ") & joint.isin(*fv.SIZE_LENGTH_WORDS))
+        | (waist_word & joint.isin("L", "LENGTH"))))
+    cut = F.regexp_replace(between, r"^[-/]\s*", "")
     fits = lambda w: w.isin(*profile.waist)
+    mark = fv.SIZE_SHORT_MARKS
+    short = two & one & ((before.isin(*mark["before"]) & (between == "")) | ((before == "") & between.isin(*mark["after"])))
+    long_number = (bare | one & between.isin(*fv.SIZE_LONG_MARKS)) & before.isin("", "DE", "EU", *fv.SIZE_LONG_MARKS)
+    plain = two & bare & before.isin("", *fv.SIZE_EU_MARKS)
+    unmarked = before == ""
     rules = [
-        F.when(text == "", F.lit(UNKNOWN)),
-        F.when(text.rlike(fv.SIZE_LONG_LETTER), F.lit(OTHER)),
-        F.when(text.rlike(fv.SIZE_TARGET_LETTER), F.lit(TARGET)),
-        F.when(text.rlike(fv.SIZE_NEAR_LETTER), F.lit(NEAR)),
-        F.when(text.rlike(fv.SIZE_OTHER_LETTER), F.lit(OTHER)),
-        F.when(waist.between(26, 48) & inseam.between(26, 38),
-               F.when(fits(waist) & (inseam <= profile.inseam_max), F.lit(TARGET)).otherwise(F.lit(OTHER))),
-        F.when(short <= 31, _near_if(short, [25, 26])),
-        F.when(cut_waist.between(26, 48),
-               F.when(fits(cut_waist) & ~cut.isin(*fv.SIZE_WAIST_LONG_CUTS), F.lit(TARGET))
-               .otherwise(F.lit(OTHER))),
-        _near_if(_numbers(text, [fv.SIZE_WAIST_ONLY]), profile.waist),
-        F.when(long_number.between(90, 118) & (long_number % 2 == 0), F.lit(OTHER)),
-        _near_if(_numbers(text, fv.SIZE_FRENCH), [44]),
-        _near_if(_numbers(text, fv.SIZE_ITALIAN), [50, 52]),
-        F.when(d_number % 2 == 0, F.lit(OTHER)),
-        F.when(~marked & fits(n), F.lit(NEAR)),
-        F.when(~marked & (system == "fr") & n.isNotNull(),
-               F.when(n.isin(44, 46), F.lit(NEAR)).when(n.between(34, 58), F.lit(OTHER))
-               .otherwise(F.lit(UNKNOWN))),
-        F.when(n.isin(50, 52), F.lit(NEAR)),
-        F.when(n.between(42, 64) & (n % 2 == 0), F.lit(OTHER)),
-        F.when(~marked & n.between(24, 40) & ~n.isin(25, 26), F.lit(OTHER)),
+        F.when(pair & n.between(26, 48) & m.between(26, 38),
+               F.when(fits(n) & (m <= profile.inseam_max), F.lit(TARGET)).otherwise(F.lit(OTHER))),
+        F.when(short & (n <= 31), _near_if(n, [25, 26])),
+        F.when(two & one & maybe_waist & n.between(26, 48) & cut.isin(*fv.SIZE_WAIST_CUTS),
+               F.when(fits(n) & ~cut.isin(*fv.SIZE_WAIST_LONG_CUTS), F.lit(TARGET)).otherwise(F.lit(OTHER))),
+        F.when(two & bare & (waist_word | before.isin("UK", "US")), _near_if(n, profile.waist)),
+        F.when(long_number & n.between(90, 118) & (n % 2 == 0), F.lit(OTHER)),
+        F.when(two & one & F.concat(before, between).isin("FR"), _near_if(n, [44])),
+        F.when(two & one & F.concat(before, between).isin("IT"), _near_if(n, [50, 52])),
+        F.when(bare & (before == "D") & n.between(90, 119) & (n % 2 == 0), F.lit(OTHER)),
+        F.when(plain & unmarked & fits(n), F.lit(NEAR)),
+        F.when(plain & unmarked & (system == "fr"), F.when(n.isin(44, 46), F.lit(NEAR))
+               .when(n.between(34, 58), F.lit(OTHER)).otherwise(F.lit(UNKNOWN))),
+        F.when(plain & n.isin(50, 52), F.lit(NEAR)),
+        F.when(plain & n.between(42, 64) & (n % 2 == 0), F.lit(OTHER)),
+        F.when(plain & unmarked & n.between(24, 40) & ~n.isin(25, 26), F.lit(OTHER)),
     ]
     return F.coalesce(*rules, F.lit(UNKNOWN))
 
 
+_PIECES = r"^(\D*)(\d+)(\D*)(\d*)(.*)$"
+
+
 def classify_sizes(sizes: Column, system="de", profile: Profile = DEFAULT) -> Column:
     """F13 over an array: one class per non-blank label. The steps are chained
     transforms, so every step is evaluated once per label."""
     system = F.lit(system) if isinstance(system, str) else system
     labels = F.filter(sizes, lambda s: squeeze(s) != "")
     steps = F.transform(F.transform(labels, _clean), _resolve_cut)
-    return F.transform(steps, lambda s: F.coalesce(s["verdict"], _judge(s["text"], system, profile)))
+    pieces = F.transform(steps, lambda s: F.struct(
+        s["text"].alias("text"), s["verdict"].alias("verdict"),
+        F.split(F.regexp_replace(s["text"], _PIECES, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001").alias("p")))
+    return F.transform(pieces, lambda s: F.coalesce(
+        s["verdict"], F.when(s["text"].rlike(r"^[2-6]?[^0-9]*$"), _letters(s["text"]))
+        .otherwise(_numbers(s["p"], system, profile))))
 
 
 def normalize_size(label: Column, system="de", profile: Profile = DEFAULT) -> Column:
@@ -117,8 +135,8 @@ def expand_size_ranges(text: Column) -> Column:
     letter = "(" + "|".join(fv.RANGE_LETTERS).replace("XXL", "XXL|2XL") + ")"
     number = "(4[0-9]|5[0-9]|6[0-4])"
     to = rf"{SPACE}*(?:-|–|(?i:bis)){SPACE}*"
-    letter_range = whole_word([f"(?i:{letter}{to}{letter})"])
-    number_range = whole_word([f"{number}{to}{number}"])
+    letter_range = f"{EDGE}(?i:{letter}{to}{letter}){EDGE}"
+    number_range = f"{EDGE}{number}{to}{number}{EDGE}"
 
     def ends(pattern, group):
         return F.regexp_extract_all(blank(text), F.lit(pattern), F.lit(group))

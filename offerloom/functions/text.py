@@ -9,15 +9,30 @@ from .. import fixed_values as fv
 # A word edge between an ASCII word character and anything else. The word lists were
 # written for that meaning; Java's \b also counts letters such as "á" as word characters.
 EDGE = (r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
+NOT_ASCII = r"[^\x00-\x7f]"
 SPACE = r"[\s\u00a0\u202f]"
 
 
 def any_of(parts) -> str:
-    return "(?:" + "|".join(parts) + ")"
+    """One alternation of the parts. Parts with the same first letter share a branch, so the
+    matcher rejects most positions after one character."""
+    branches, rest = {}, []
+    for part in parts:
+        if part[0].isalnum() and "|" not in part and part[1:2] not in ("?", "*", "+", "{"):
+            branches.setdefault(part[0], []).append(part[1:])
+        else:
+            rest.append(part)
+    rest += [f"{first}(?:{'|'.join(tails)})" for first, tails in branches.items()]
+    return "(?:" + "|".join(rest) + ")"
 
 
 def whole_word(parts) -> str:
-    return EDGE + any_of(parts) + EDGE
+    """Whole words in lower-case text. Where a word starts with an ASCII letter, a word edge is
+    the same as no word character in front; only other words need the general edge."""
+    plain = [p for p in parts if p[0].isascii() and (p[0].isalnum() or p.startswith("(?:"))]
+    other = [p for p in parts if p not in plain]
+    out = "(?<![A-Za-z0-9_])" + any_of(plain) + EDGE if plain else ""
+    return out + ("|" if plain and other else "") + (EDGE + any_of(other) + EDGE if other else "")
 
 
 def edges(pattern: str) -> str:
@@ -88,7 +103,7 @@ _LETTERS = {form: _marked_letters(form) for form in ("NFD", "NFKD")}
 def strip_marks(c, form: str = "NFD") -> Column:
     src, dst = _LETTERS[form]
     folded = F.regexp_replace(F.translate(c, src, dst), r"[\u0300-\u036f]", "")
-    return F.when(c.rlike(r"[^\x00-\x7f]"), folded).otherwise(c)
+    return F.when(c.rlike(NOT_ASCII), folded).otherwise(c)
 
 
 def fold(c, o_slash: bool = True, ae: bool = True, form: str = "NFD") -> Column:
@@ -129,7 +144,7 @@ def is_eligible(name, description=None) -> Column:
     other = whole_word(fv.OTHER_WEARER_WORDS) + "|" + any_of(fv.OTHER_SPORT_COMPOUNDS)
     return (title.rlike(whole_word(fv.TROUSER_WORDS))
             & ~title.rlike(whole_word(fv.EXCLUDED_WORDS) + "|" + any_of(fv.EXCLUDED_COMPOUNDS))
-            & ~strip_marks(title).rlike(whole_word(fv.EXCLUDED_WORDS))
+            & ~(title.rlike(NOT_ASCII) & strip_marks(title).rlike(whole_word(fv.EXCLUDED_WORDS)))
             & ~detail.rlike(other))
 
 
@@ -200,9 +215,8 @@ def similar_name(a, b) -> Column:
     return name_similarity(a, b) >= 0.6
 
 
-def _brand_pattern(term: str) -> str:
-    quoted = "".join(x if x.isalnum() or x == " " else "\\" + x for x in term)
-    return f"(?:^|[^a-z0-9]){quoted}(?=$|[^a-z0-9])"
+def quoted(term: str) -> str:
+    return "".join(x if x.isalnum() or x == " " else "\\" + x for x in term)
 
 
 def brand_of_field(brand, brands) -> Column:
@@ -216,9 +230,14 @@ def brand_of_field(brand, brands) -> Column:
 
 def brand_in_title(folded_title, brands) -> Column:
     """The first profile brand that stands in the folded title as a whole token."""
-    patterns = [(b, _brand_pattern(fold_py(b).strip())) for b in brands]
-    chain = F.coalesce(*[F.when(folded_title.rlike(p), F.lit(b)) for b, p in patterns])
-    return F.when(folded_title.rlike("|".join(p for _, p in patterns)), chain)
+    terms = [quoted(fold_py(b).strip()) for b in brands]
+    names = {}
+    for b in brands:
+        names.setdefault(fold_py(b).strip(), b)
+    found = F.regexp_extract_all(folded_title, F.lit(f"(?<![a-z0-9])({any_of(terms)})(?![a-z0-9])"), F.lit(1))
+    order = F.array(*[F.lit(t) for t in names])
+    labels = F.array(*[F.lit(b) for b in names.values()])
+    return F.get(labels, F.array_min(F.transform(found, lambda t: F.array_position(order, t).cast("int"))) - 1)
 
 
 def match_brand(brand, name, brands) -> Column:
@@ -238,5 +257,4 @@ def brand_contained(text, brands) -> Column:
 def is_premium(brand, name, brands) -> Column:
     """A profile brand somewhere in brand or name."""
     text = fold(F.concat_ws(" ", blank(brand), blank(name)), ae=False)
-    return text.rlike("|".join("".join(x if x.isalnum() or x == " " else "\\" + x for x in fold_py(b))
-                               for b in brands))
+    return text.rlike(any_of([quoted(fold_py(b)) for b in brands]))

@@ -14,13 +14,12 @@ _PARTS = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:\s]+)(?::\d*)?([
 
 
 def url_parts(url) -> Column:
-    """struct(scheme, host, path, query) of an absolute address, NULL for anything else."""
-    text = F.trim(blank(url))
-    def part(i):
-        return F.regexp_extract(text, _PARTS, i)
-    return F.when(text.rlike(_PARTS), F.struct(
-        F.lower(part(1)).alias("scheme"), F.lower(part(2)).alias("host"),
-        F.when(part(3) == "", F.lit("/")).otherwise(part(3)).alias("path"), part(4).alias("query")))
+    """struct(scheme, host, path, query) of an absolute address, NULL for anything else. One
+    match splits the address into its parts."""
+    parts = F.split(F.regexp_replace(F.trim(blank(url)), _PARTS, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
+    return let(parts, lambda p: F.when(F.size(p) == 4, F.struct(
+        F.lower(p[0]).alias("scheme"), F.lower(p[1]).alias("host"),
+        F.when(p[2] == "", F.lit("/")).otherwise(p[2]).alias("path"), p[3].alias("query"))))
 
 
 def canonical_url(url, drop_query: bool = False) -> Column:
