@@ -232,3 +232,52 @@ DETAIL_CHECKS_PER_SOURCE = 8
 HIDDEN_LIST_LIMIT = 200
 BATCH_SIZE = 6
 NEXT_PAGE_MAX = 5
+
+# ---- fixed values: page elements ---------------------------------------------------
+# (attribute, text it contains); attribute "tag" compares the tag name, text None means
+# that the attribute is present.
+CARD_ELEMENTS = [
+    ("tag", "article"), ("itemtype", "Product"), ("data-e2e-test", "product-card-container"),
+    ("class", "product-card"), ("class", "productCard"), ("class", "product-tile"),
+    ("class", "productTile"), ("class", "product-item"), ("class", "productItem"),
+    ("data-testid", "product"), ("data-product-id", None), ("data-product-sku", None),
+]
+PRICE_ELEMENTS = [
+    ("itemprop", "price"), ("data-price", None), ("data-testid", "price"), ("class", "product-price"),
+]
+STRUCK_ELEMENTS = [
+    ("tag", "del"), ("tag", "s"), ("data-testid", "original-price"), ("class", "oldPrice"),
+    ("class", "originalPrice"), ("class", "old-price"), ("class", "line-through"), ("class", "strike"),
+    ("class", "was-price"), ("class", "price--pseudo"), ("class", "price--line-through"),
+]
+NAME_ELEMENTS = [
+    ("data-e2e-test", "product-card-info-name-section"), ("itemprop", "name"), ("data-testid", "name"),
+    ("data-testid", "title"), ("tag", "h2"), ("tag", "h3"), ("tag", "h4"), ("class", "title"), ("class", "name"),
+]
+BRAND_ELEMENTS = [("itemprop", "brand"), ("data-testid", "brand"), ("class", "brand")]
+# Compared without regard to case.
+BADGE_ELEMENTS = [
+    ("data-testid", "discount"), ("data-testid", "badge"), ("class", "discount"), ("class", "rabatt"),
+    ("class", "percent"), ("class", "badge"), ("class", "sale-badge"), ("data-e2e-test", "discount"),
+]
+LISTING_CARD_ELEMENTS = [
+    ("tag", "article"), ("tag", "li"), ("data-testid", "product"), ("class", "product"), ("class", "tile"),
+    ("class", "card"),
+]
+HEADING_ELEMENTS = [("tag", "h2"), ("tag", "h3"), ("tag", "h4"), ("class", "name"), ("class", "title")]
+CLAIM_CARD_ELEMENTS = [
+    ("tag", "article"), ("itemtype", "Product"), ("class", "product"), ("class", "Product"),
+    ("data-product-id", None), ("data-product-sku", None), ("data-testid", "product"), ("tag", "li"),
+]
+CLAIM_SKIPPED_TAGS = ["script", "style", "noscript", "svg", "header", "footer", "nav", "form", "iframe"]
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+# Card rules of shops whose cards the general rules miss: source -> element -> class names.
+CARD_RULES = {
+    "barrabes": {"card": "card--product", "name": "card-product-name", "price": "price", "reference": "is__old"},
+    "biwak": {"card": "productData", "name": "productsTitle", "brand": "manufacturer", "reference": "old"},
+    "varuste": {"card": "item", "name": "item_name", "brand": "product_listing_brand_name"},
+    "trekking-koenig": {"card": "product-box", "name": "product-name", "price": "product-price"},
+}
+NEXT_LABEL_PATTERN = r"\bnext\b|\bnächste\b|\bweiter\b|[→›»]"
+PAGE_PARAMETERS = ["page", "p", "currentpage", "pagenumber"]
+STATE_MARKER = "elementsList:"
