@@ -1,3 +1,3 @@
 """Driver-facing queries over the given tables and the SQL they are compared with."""
-from . import core  # noqa: F401
+from . import core, sources  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -82,7 +82,7 @@ def qualified_by_source(spark, d):
 
 
 # ---- screening (P1-P7) ------------------------------------------------------------
-_NORM = ("l_orderkey, l_linenumber, l_partkey, l_suppkey, brand, name, reason, eligible, rrp_verified, discount_verified, size_fit, "
+_NORM = ("l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, brand, name, reason, eligible, rrp_verified, discount_verified, size_fit, "
          "product_fit_score, price_eur, rrp_eur, shipping_eur, return_cost_eur, effective_cost_eur, nominal_discount_pct, "
          "effective_discount_pct, score, class")
 
@@ -176,7 +176,7 @@ def product_fit(spark, d):
                               "eligible": tx.is_eligible(c("name"), c("description"))})
 
 
-@query("offer_and_model_keys", f"WITH {op.RAW_CTE}, {op.key_ctes('raw')} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, offer_key, model_key, hide_key FROM keyed")
+@query("offer_and_model_keys", f"WITH {op.RAW_CTE}, {op.key_ctes('raw')} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, offer_key, model_key, hide_key FROM keyed")
 def offer_and_model_keys(spark, d):
     return rk.with_keys(raw_offers(spark, d)).select(*SEQ, "offer_key", "model_key", "hide_key")
 
@@ -202,13 +202,13 @@ def enrich_source_brand(spark, d):
 
 @query("to_eur_as_of", f"""WITH {op.RAW_CTE}, {op.RATES_CTE}, days AS (SELECT DISTINCT currency, run_date FROM raw),
   r AS (SELECT days.currency, run_date, arg_max(fx.rate, fx.rate_date) AS rate FROM days JOIN fx ON fx.currency = days.currency AND fx.rate_date <= run_date GROUP BY 1, 2)
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN raw.currency = 'EUR' THEN 1.0::DOUBLE ELSE r.rate END AS eur_rate
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN raw.currency = 'EUR' THEN 1.0::DOUBLE ELSE r.rate END AS eur_rate
   FROM raw LEFT JOIN r ON r.currency = raw.currency AND r.run_date = raw.run_date""")
 def to_eur_as_of(spark, d):
     return jo.to_eur(raw_offers(spark, d), fx_rates(spark, d), "run_date").select(*SEQ, "eur_rate")
 
 
-@query("apply_shipping", f"""WITH {op.RAW_CTE}, {op.POLICY_CTE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+@query("apply_shipping", f"""WITH {op.RAW_CTE}, {op.POLICY_CTE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   coalesce(shipping, CASE WHEN currency = 'EUR' AND fee IS NOT NULL THEN CASE WHEN price >= free_from THEN 0 ELSE fee END END)::DOUBLE AS shipping,
   coalesce(return_cost, CASE WHEN currency = 'EUR' AND free_returns THEN 0 END)::DOUBLE AS return_cost
   FROM raw LEFT JOIN policy USING (source_id)""")

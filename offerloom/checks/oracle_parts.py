@@ -68,7 +68,7 @@ FIT = ("CASE WHEN NOT eligible OR regexp_matches(lower(name || ' ' || descriptio
 TIER = """CASE WHEN {d} >= 55 AND {f} >= 70 THEN 'Top Deal' WHEN {d} >= 45 THEN 'Strong Deal'
   WHEN {d} >= 40 THEN 'Good Deal' ELSE 'Near Miss' END"""
 
-RAW_CTE = f"raw0 AS ({plain(RAW_SQL)}), raw AS (SELECT *, row(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq FROM raw0)"
+RAW_CTE = f"raw0 AS ({plain(RAW_SQL)}), raw AS (SELECT *, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM raw0)"
 RATES_CTE = f"fx AS ({plain(RATES_SQL)})"
 POLICY_CTE = f"policy AS ({plain(POLICIES_SQL)})"
 
@@ -143,7 +143,7 @@ def best_ctes(source="keyed", best="best"):
 {best} AS (SELECT * EXCLUDE (rn, class), CASE WHEN rrp_verified OR discount_verified THEN {TIER.format(d='effective_discount_pct', f='product_fit_score')} ELSE 'Near Miss' END AS class
   FROM (SELECT *, row_number() OVER (PARTITION BY offer_key ORDER BY
       (CAST(rrp_verified OR discount_verified AS INT) + CAST(shipping_known AS INT) + CAST(size_fit = 'confirmed' AS INT)) DESC,
-      score DESC, effective_cost_eur, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn,
+      score DESC, effective_cost_eur, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn,
     min(seq) OVER (PARTITION BY offer_key) AS first_seq FROM {source} WHERE size_fit <> 'no') WHERE rn = 1)"""
 
 

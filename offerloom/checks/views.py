@@ -31,7 +31,7 @@ _BRAND_CASE = "CASE CAST(substr(p_brand, 7) AS INT) " + " ".join(
     " WHEN 23 THEN 'Stoic' WHEN 25 THEN 'Salewa' END")
 
 RAW_SQL = f"""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   'shop-' || CAST(l_suppkey AS STRING) AS source_id,
   s_name AS merchant,
   CASE WHEN n_nationkey % 5 = 0 THEN 'FR' ELSE 'DE' END AS merchant_country,
@@ -80,7 +80,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey
   JOIN {{nation}} ON s_nationkey = n_nationkey
 """
-SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
 def shared(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from .text import EDGE, SPACE, any_of, blank, edges, let, squeeze
 
-# An amount on a card: thousands groups or up to four digits, optional decimals.
-AMOUNT = r"(\d{1,3}(?:\.\d{3})+(?:,\d{2})?|\d{1,4}(?:[.,]\d{2})?)"
+# An amount on a card: thousands groups or plain digits, optional decimals.
+AMOUNT = r"(\d{1,3}(?:\.\d{3})+(?:,\d{2})?|\d+(?:[.,]\d{2})?)"
 _NO_DIGIT_BEFORE = r"(?<![\d.,])"
 _FIRST_NUMBER = rf"\d{{1,3}}(?:(?:\.|{SPACE})\d{{3}})+(?:,\d{{1,2}})?|\d+(?:[.,]\d{{1,2}})?"
 _DE_FIRST = r"\d{1,3}(?:\.\d{3})+(?:,\d{1,2})?|\d+(?:,\d{1,2})?"

@@ -100,8 +100,7 @@ def read_rss_posts(spark: SparkSession, path: str, host_prefix: str) -> DataFram
         tx.or_null(c("merchant._name")).alias("merchant"), mo.parse_money(c("merchant._price"), "de_first").alias("price"),
         tx.post_text(c("description")).alias("description"), tx.or_null(F.trim("category")).alias("category"),
         tx.or_null(c("content._url")).alias("image_url"),
-        F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, d MMM yyyy HH:mm:ss Z")),
-                   F.try_to_timestamp("pubDate")).alias("published"))
+        F.try_to_timestamp(F.regexp_replace("pubDate", r"^\s*[A-Za-z]+,\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z")).alias("published"))
     return d.where((tx.blank(c("title")) != "") & c("link").startswith(host_prefix))
 
 
