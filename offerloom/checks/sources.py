@@ -187,18 +187,19 @@ _POSTS = "posted AS (SELECT *, (SELECT max(o_orderdate) FROM orders) AS newest,
 @query("posts_to_offers", f"""{BASE}, {_POSTS} SELECT url, name, pc / 100.0::DOUBLE AS price, CASE WHEN rc > pc THEN rc / 100.0::DOUBLE END AS rrp,
    CASE WHEN rc > pc THEN CASE WHEN l_linenumber % 2 = 0 THEN 'post:price-comparison' ELSE 'post:labelled-reference-price' END END AS rrp_source,
    's' || source_id || ' (via posts)' AS merchant, 'S,M,L' AS sizes
-  FROM posted WHERE posted_at >= newest - INTERVAL 400 DAY AND l_linenumber <> 7""")
+  FROM posted WHERE l_orderkey >= 0 AND posted_at >= newest - INTERVAL 400 DAY AND l_linenumber <> 7""")
 def posts_to_offers(spark, d):
     b = base(spark, d, p=de("pc"), r=de("rc")).join(
         spread(table(spark, d, "orders"), "o_orderkey").select(c("o_orderkey").alias("l_orderkey"), c("o_orderdate").cast("timestamp").alias("at")), "l_orderkey")
     label = F.when(c("l_linenumber") % 2 == 0, F.lit("PVG: ")).otherwise(F.lit("UVP "))
-    item = F.concat(
-        F.lit("<item><title><![CDATA["), F.lit("102° - "), c("name"), F.when(c("l_linenumber") == 7, F.lit(" (abgelaufen)")).otherwise(F.lit("")),
-        F.lit("]]></title><link>"), F.concat(c("url"), F.lit("-"), c("l_orderkey").cast("string")), F.lit('</link><merchant name="s'), c("source_id"), F.lit('" price="'), c("p"),
-        F.lit('€"/><description><![CDATA[<p>Gr. S-L</p>'), label, c("r"), F.lit(" €]]></description><pubDate>"),
-        F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item>"))
+    items = b.select(
+        F.concat(F.lit("102° - "), "name", F.when(c("l_linenumber") == 7, F.lit(" (abgelaufen)")).otherwise(F.lit(""))).alias("title"),
+        F.concat_ws("-", "url", c("l_orderkey").cast("string")).alias("link"),
+        F.concat(F.lit("<p>Gr. S-L</p>"), label, "r", F.lit(" €")).alias("description"),
+        F.concat(F.date_format("at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")).alias("pubDate"),
+        F.struct(F.concat(F.lit("s"), "source_id").alias("_name"), F.concat("p", F.lit("€")).alias("_price")).alias("merchant"))
     path = work_folder(spark, "rss")
-    b.select(item.alias("value")).write.text(path)
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
     now = table(spark, d, "orders").agg(F.max("o_orderdate").cast("timestamp")).first()[0]
     posts = feeds.read_rss_posts(spark, path, "https://www.shop")
     src = sources(spark, d).limit(1).withColumn("source_id", F.lit("posts"))

@@ -168,19 +168,20 @@ def merge_detail(offers: DataFrame, variants: DataFrame, cards: DataFrame | None
     """Product-page variants (page_url, seq and raw columns) confirm stock, sizes and a
     reference for listing offers. Work is done once per distinct (url, name, price), with
     partial aggregation, and joined back."""
-    key = ["url", "name", "price"]
+    key = ["url", "_name", "_price"]
+    offers = offers.withColumns({"_name": tx.blank(F.col("name")), "_price": F.coalesce("price", F.lit(-1.0))})
     asked = offers.select(*key).distinct()
 
     def matched(rows, need_name):
         v = rows.select(F.col("page_url").alias("url"), F.col("name").alias("v_name"),
                         F.col("price").alias("v_price"), "sizes", "size_availability", "availability",
                         F.col("rrp").alias("v_rrp"), F.col("rrp_source").alias("v_src"), F.col("seq").alias("v_seq"))
-        similar = tx.similar_name(F.col("v_name"), F.col("name"))
+        similar = tx.similar_name(F.col("v_name"), F.col("_name"))
         if not need_name:
             similar = similar | (tx.blank(F.col("v_name")) == "")
         pairs = asked.join(v, "url").where(similar)
-        at_price = F.coalesce(same_price(F.col("v_price"), F.col("price")), F.lit(False))
-        good_ref = at_price & F.coalesce((F.col("v_rrp") > F.col("price")) & (F.col("v_src") != ""), F.lit(False))
+        at_price = F.coalesce(same_price(F.col("v_price"), F.col("_price")), F.lit(False)) & (F.col("_price") >= 0)
+        good_ref = at_price & F.coalesce((F.col("v_rrp") > F.col("_price")) & (F.col("v_src") != ""), F.lit(False))
         if need_name:
             good_ref = at_price & F.coalesce((F.col("v_rrp") > 0) & (F.col("v_src") != ""), F.lit(False))
         return pairs.withColumns({"at_price": at_price, "good_ref": good_ref})
@@ -218,7 +219,7 @@ def merge_detail(offers: DataFrame, variants: DataFrame, cards: DataFrame | None
         "rrp": F.when(F.col("_take_ref"), F.col("d_ref.rrp")).otherwise(F.col("rrp")),
         "rrp_source": F.when(F.col("_take_ref"), F.concat(F.lit("detail:"), F.col("d_ref.src")))
         .otherwise(F.col("rrp_source"))}).drop(
-            "_sold", "_take_sizes", "_take_ref", "_new", "d_sold", "d_sizes", "d_ref")
+            "_sold", "_take_sizes", "_take_ref", "_new", "d_sold", "d_sizes", "d_ref", "_name", "_price")
 
 
 def discount_checks(offers: DataFrame, limit: int = fv.DETAIL_CHECKS_PER_SOURCE) -> DataFrame:
