@@ -259,12 +259,13 @@ PUBLISHED = f"""{MONTHLY}, {op.key_ctes()}, best AS (SELECT * EXCLUDE (rn) FROM
    min(seq) OVER (PARTITION BY run_date, offer_key) AS first_seq FROM keyed) WHERE rn = 1), {op.model_ctes(scope='run_date')},
  near AS (SELECT * FROM models WHERE NOT qualifies AND effective_discount_pct >= 30 QUALIFY row_number() OVER (PARTITION BY run_date ORDER BY score DESC, model_seq) <= 12),
  published AS (SELECT *, 'deal' AS list FROM models WHERE qualifies UNION ALL SELECT *, 'near' FROM near),
- points AS (SELECT offer_key, run_date, effective_cost_eur AS price FROM published WHERE run_date IN (SELECT DISTINCT run_date FROM published ORDER BY run_date DESC LIMIT 30))"""
+ points AS (SELECT offer_key, run_date, effective_cost_eur AS price FROM published WHERE run_date IN (SELECT DISTINCT run_date FROM screened ORDER BY run_date DESC LIMIT 30))"""
 
 
 def points(spark, d):
     ranked = rk.rank_models(no.accepted(monthly(spark, d)), 40, ("run_date",))
-    return hi.history_points(publish_by(ranked, ["run_date"]))
+    runs = table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("run_date")).distinct()
+    return hi.history_points(publish_by(ranked, ["run_date"]), runs.withColumn("finished_at", c("run_date")))
 
 
 @query("published_runs", f"{PUBLISHED} SELECT run_date, list, count(*) AS n, CAST(sum(score) AS BIGINT) AS scores FROM published GROUP BY 1, 2")

@@ -36,10 +36,16 @@ def write_batch(df: DataFrame, path: str, run_date=None, batch=None) -> None:
     replace_partitions(df, path, ["run_date", "batch"])
 
 
+def replace_one(df: DataFrame, path: str, **partition) -> None:
+    """Overwrite one partition. Also an empty result replaces what was stored there."""
+    folder = "/".join(f"{k}={v}" for k, v in partition.items())
+    df.drop(*partition).write.mode("overwrite").parquet(f"{path}/{folder}")
+
+
 def write_run(tables: dict, path: str, run_date) -> None:
     """K2: replace the stored tables (report, deals, near, ...) of a run date."""
     for name, df in tables.items():
-        replace_partitions(df.withColumn("run_date", F.lit(run_date).cast("date")), f"{path}/{name}", ["run_date"])
+        replace_one(df, f"{path}/{name}", run_date=run_date)
 
 
 def upsert(df: DataFrame, path: str, partitions, keys) -> None:

@@ -42,9 +42,11 @@ def run_batch(raw: DataFrame, crawl: DataFrame, root: str, run_date, snapshots:
     """J4 -> J1 -> J3 -> P1/P2 -> K1, then A2/A3/F31 from the stored rows. `raw` and
     `crawl` carry `batch`. Running it again replaces the same partitions. Returns coverage."""
     spark = raw.sparkSession
+    sent = raw.select("source_id")
     batch_of = crawl.select("source_id", c("batch").alias("_batch"))
     if snapshots is not None:
         fresh = rk.latest_snapshot(snapshots, now).drop("collected_at")
+        sent = sent.union(fresh.select("source_id"))
         raw = jo.merge_snapshot(raw, fresh)
         added = jo.snapshot_counters(raw).select("source_id", "added")
         crawl = crawl.join(added, "source_id", "left").withColumn("status", F.when(
@@ -55,8 +57,12 @@ def run_batch(raw: DataFrame, crawl: DataFrame, root: str, run_date, snapshots:
         raw = jo.apply_shipping(raw, policies)
     screened = jo.lookup_join(no.screen_offers(raw.drop("batch"), profile, rates), batch_of, "source_id", "url")
     sk.write_batch(screened.withColumnRenamed("_batch", "batch"), f"{root}/screened", run_date)
-    rows = stored(spark, f"{root}/screened", run_date)
     touched = crawl.select("batch").distinct()
+    # A batch whose sources sent nothing replaces its stored rows, too (one row per batch here).
+    silent = touched.join(jo.semi_by_key(crawl, sent, ["source_id"]).select("batch").distinct(), "batch", "left_anti")
+    for row in silent.collect():
+        sk.replace_one(screened.drop("_batch").limit(0), f"{root}/screened", run_date=run_date, batch=row["batch"])
+    rows = stored(spark, f"{root}/screened", run_date)
     coverage = ag.source_coverage(rows.join(touched, "batch", "left_semi"), crawl, profile.min_discount)
     sk.write_batch(coverage, f"{root}/coverage", run_date)
     return stored(spark, f"{root}/coverage", run_date)
@@ -84,8 +90,7 @@ def finalize_run(spark: SparkSession, root: str, run_date, expected: DataFrame,
     report = report.withColumn("batch_snapshot_at", F.lit(snapshot_at).cast("timestamp"))
     previous = _previous(spark, root, run_date, snapshot_at)
     report = report.withColumn("baseline_date", F.lit(previous).cast("date"))
-    sk.write_run({"report": report, "deals": rk.deals_of(ranked).drop("run_date"),
-                  "near": rk.near_of(ranked, profile).drop("run_date")}, root, run_date)
+    sk.write_run({"report": report, "deals": rk.deals_of(ranked), "near": rk.near_of(ranked, profile)}, root, run_date)
     report = stored(spark, f"{root}/report", run_date)
     metrics = ag.run_metrics(report, coverage)
     sources = coverage
