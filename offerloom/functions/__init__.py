@@ -1 +1,13 @@
-"""Column -> Column functions. `register_functions` exposes them to SQL users."""
+"""Column -> Column functions."""
+
+
+def register_functions(spark) -> None:
+    """Make the Python-backed functions callable from SQL. All other functions are Column
+    expressions for the DataFrame API and stay inside the JVM."""
+    from ..sources import page_parts
+    from . import urls
+    spark.udf.register("absolute_url", urls.absolute_url)
+    spark.udf.register("page_cards", page_parts.cards)
+    spark.udf.register("page_links", page_parts.links)
+    spark.udf.register("jsonld_variants", page_parts.variants)
+    spark.udf.register("page_state", page_parts.state_text)

@@ -5,7 +5,7 @@ overwrite; a finer key is merged into the partitions it touches."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 8
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

@@ -144,3 +144,10 @@ def test_policy_and_rates(spark, tmp_path):
     assert values(reference.read_fx_rates(spark, str(tmp_path / "r.csv")), "rate_date", "rate") == [(dt.date(2024, 1, 1), 1.05)]
     (tmp_path / "s.csv").write_text("s1|Shop|DE|https://s1.example|1\n")
     assert values(reference.read_sources(spark, str(tmp_path / "s.csv")), "source_id", "priority") == [("s1", 1)]
+
+
+def test_sql_functions(spark):
+    from offerloom.functions import register_functions
+    register_functions(spark)
+    assert spark.sql("SELECT absolute_url('https://a.example/x/', concat('../', y)) FROM VALUES ('b') AS t(y)").first()[0] == "https://a.example/b"
+    assert spark.sql("SELECT size(page_cards(h, 's')) FROM VALUES ('<article><a href=x>y</a></article>') AS t(h)").first()[0] == 1
