@@ -87,9 +87,11 @@ _NORM = ("l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, brand
          "effective_discount_pct, score, class")
 
 
-@query("screen_offers", f"{op.SCREEN} SELECT {_NORM} FROM screened")
+@query("screen_offers", f"{op.SCREEN} SELECT {_NORM} FROM (SELECT * REPLACE (CAST(product_fit_score AS DOUBLE) AS product_fit_score, CAST(score AS DOUBLE) AS score) FROM screened)")
 def screen_offers(spark, d):
-    return screened(spark, d).select(*[x.strip() for x in _NORM.split(",")])
+    """Nullable whole numbers are compared as doubles."""
+    d = screened(spark, d).withColumns({x: c(x).cast("double") for x in ("product_fit_score", "score")})
+    return d.select(*[x.strip() for x in _NORM.split(",")])
 
 
 @query("normalize_offers", f"{op.SCREEN} SELECT source_id, url, brand, score, class, effective_discount_pct FROM offers")

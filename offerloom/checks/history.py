@@ -226,18 +226,19 @@ _MREP = f"""{MONTHLY}, cov AS (SELECT run_date, source_id, l_suppkey, count(*) A
     " UNION ALL SELECT run_date, 'near_misses', CAST(NULL AS BIGINT) FROM wide)"
 
 
-@query("run_metrics", f"{_MREP} SELECT * FROM long")
+@query("run_metrics", f"{_MREP} SELECT run_date, metric, CAST(value AS DOUBLE) AS value FROM long")
 def run_metrics(spark, d):
     cov, report = month_reports(spark, d)
-    return ag.run_metrics(report, cov)
+    return ag.run_metrics(report, cov).withColumn("value", c("value").cast("double"))
 
 
-@query("compare_runs", f"""{_MREP} SELECT a.metric, coalesce(a.value, 0) AS current, b.value AS previous, coalesce(a.value, 0) - b.value AS delta
+@query("compare_runs", f"""{_MREP} SELECT a.metric, coalesce(a.value, 0) AS current, CAST(b.value AS DOUBLE) AS previous, CAST(coalesce(a.value, 0) - b.value AS DOUBLE) AS delta
   FROM long a JOIN long b USING (metric) WHERE a.run_date = '1998-04' AND b.run_date = '1998-03'""")
 def compare_runs(spark, d):
     cov, report = month_reports(spark, d)
     m = ag.run_metrics(report.where(c("run_date").isin("1998-03", "1998-04")), cov)
-    return hi.compare_runs(m.where("run_date = '1998-04'"), m.where("run_date = '1998-03'"))
+    out = hi.compare_runs(m.where("run_date = '1998-04'"), m.where("run_date = '1998-03'"))
+    return out.withColumns({x: c(x).cast("double") for x in ("previous", "delta")})
 
 
 @query("compare_sources", f"""{_MREP} SELECT a.source_id, a.status, b.status AS previous_status, a.parsed AS parsed_offers, b.parsed AS previous_parsed_offers, a.parsed - b.parsed AS parsed_delta,

@@ -85,11 +85,11 @@ def text_amounts(spark, d):
                     mo.currency_code(F.when(c("q") > 0, F.lit("£"))).alias("code"))
 
 
-@query("badges", f"""{BASE} SELECT {_IDS}, CASE WHEN 30 + q BETWEEN 40 AND 80 THEN 30 + q WHEN q BETWEEN 40 AND 80 THEN q END AS pct, l_linenumber = 2 AS up_to FROM base""")
+@query("badges", f"""{BASE} SELECT {_IDS}, CAST(CASE WHEN 30 + q BETWEEN 40 AND 80 THEN 30 + q WHEN q BETWEEN 40 AND 80 THEN q END AS DOUBLE) AS pct, l_linenumber = 2 AS up_to FROM base""")
 def badges(spark, d):
     b = base(spark, d, label="CASE WHEN l_linenumber = 2 THEN 'bis zu ' ELSE 'Sale ' END || '-' || CAST(30 + q AS STRING) || ' %'",
              second="CAST(q AS STRING) || '%'")
-    return b.select(*SEQ, mo.badge_discount(F.array("label", "second"))["pct"].alias("pct"), mo.is_up_to(c("label")).alias("up_to"))
+    return b.select(*SEQ, mo.badge_discount(F.array("label", "second"))["pct"].cast("double").alias("pct"), mo.is_up_to(c("label")).alias("up_to"))
 
 
 @query("size_ranges", f"""{BASE} SELECT {_IDS}, array_to_string(list_transform(generate_series(40 + p_size % 10, 40 + p_size % 10 + 2 * (q % 8), 2), lambda x: CAST(x AS VARCHAR)), ',') AS numbers,
