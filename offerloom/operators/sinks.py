@@ -2,22 +2,12 @@
 
 Plain parquet has no MERGE. A key that is a partition is replaced with dynamic partition
 overwrite; a finer key is merged into the partitions it touches."""
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 8
-
+from ..storage import work_folder
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own below the cluster's shared checkpoint folder. Only where no such
-    folder is configured (tests) a local one is set."""
-    import tempfile
-    import uuid
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="offerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+BUCKETS = 8
 
 
 def replace_partitions(df: DataFrame, path: str, partitions) -> None:
@@ -61,7 +51,7 @@ def upsert(df: DataFrame, path: str, partitions, keys) -> None:
         return
     touched = df.select(*partitions).distinct()
     kept = old.join(touched, partitions, "left_semi").join(df.select(*keys).distinct(), keys, "left_anti")
-    staged = f"{path.rstrip('/')}__staged"
+    staged = work_folder(spark, "staged")
     kept.unionByName(df, allowMissingColumns=True).write.mode("overwrite").parquet(staged)
     replace_partitions(spark.read.parquet(staged), path, partitions)
 
