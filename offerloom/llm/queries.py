@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..storage import ship
-from . import mixing, packing, simhash
+from . import mixing, packing, quality, rules, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,6 +20,11 @@ def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op4_quality_classifier(spark, sf_dir):
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @_query
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
@@ -34,3 +39,8 @@ def op8_simhash_near_dedup(spark, sf_dir):
 @_query
 def op9_source_mixing(spark, sf_dir):
     return mixing.mix(_documents(spark, sf_dir))
+
+
+@_query
+def op10_quality_rules(spark, sf_dir):
+    return rules.judge(_documents(spark, sf_dir))
