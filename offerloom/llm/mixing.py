@@ -52,10 +52,17 @@ def _taken(sweeps: int):
     return F.lit(False) if not sweeps else _taken(sweeps - 1) | ((F.col("_size") <= F.col(f"_left{sweeps}")) & (F.col("_u") <= F.col(f"_cut{sweeps}")))
 
 
+def _joined(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows with the state of their source. Should the state be too large to send to all tasks,
+    the rows of a source are dealt over 16 reducers, each with its row of state."""
+    salted = state.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    return rows.withColumn("_salt", F.col("_u").bitwiseAND(F.lit(15))).join(salted, ["_key", "_salt"]).drop("_salt")
+
+
 def _sweep(rows: DataFrame, state: DataFrame, k: int) -> DataFrame:
     """Adds to `state` the greatest u that sweep k takes and the words left for the next one."""
     left, here = F.col(f"_left{k}"), f"_cut{k}"
-    live = rows.join(state, "_key").where((F.col("_size") <= left) & (F.col("_size") > 0) & ~_taken(k - 1)).select(
+    live = _joined(rows, state).where((F.col("_size") <= left) & (F.col("_size") > 0) & ~_taken(k - 1)).select(
         "_key", "_u", "_size", left.alias("left"), F.shiftright("_u", _RANGE_BITS).alias("range"))
     words = live.groupBy("_key", "range").agg(F.sum("_size").alias("words"), F.first("left").alias("left"))
     up_to = F.sum("words").over(W.partitionBy("_key").orderBy("range"))
@@ -83,7 +90,7 @@ def _copies(docs, weights, share, most, seed, id_col, text_col, source_col) -> D
         "_left1", F.floor(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
     for k in range(1, SWEEPS + 1):
         state = stored(_sweep(rows, state, k), "mix-state")
-    return measured.join(state, "_key").withColumn("_copies", F.col("_whole") + F.when(_taken(SWEEPS) & (F.col("_left1") > 0), 1).otherwise(0))
+    return _joined(measured, state).withColumn("_copies", F.col("_whole") + F.when(_taken(SWEEPS) & (F.col("_left1") > 0), 1).otherwise(0))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED,

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..storage import ship
-from . import mixing, packing, quality, rules, simhash
+from . import fingerprints, mixing, packing, quality, rules, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,6 +20,12 @@ def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@_query
+def op1_document_fingerprints(spark, sf_dir):
+    return fingerprints.edited_likeness(_documents(spark, sf_dir)).withColumns({
+        c: fingerprints.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 @_query
 def op4_quality_classifier(spark, sf_dir):
     return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
