@@ -3,7 +3,8 @@
 Every five-word shingle is hashed once; the upper bits of the hash choose one of 256 bins and the
 least hash of a bin stays. A bin without shingles takes the value of another one: it tries bins in
 an order of its own, given by a hash of its number and the attempt (optimal densification), so
-equal sets fill alike. Of every bin the lowest four bits are packed, sixteen bins to a number. Two
+equal sets fill alike; what it takes is hashed with its own number, so that few shingles do not agree
+or differ by chance in all bins at once. Of every bin the lowest four bits are packed, sixteen bins to a number. Two
 fingerprints agree by chance in one bin of sixteen; the likeness takes that out."""
 from __future__ import annotations
 
@@ -52,7 +53,7 @@ def _densified(bins: Column) -> Column:
             _empty(a), F.get(bins, F.pmod(F.xxhash64(i, t), F.lit(BINS)).cast("int"))).otherwise(a))
         rest = lambda: F.array_min(F.transform(
             F.filter(bins, lambda y: ~_empty(y)), lambda y: F.struct(F.xxhash64(i, F.shiftright(y, _SHIFT)).alias("p"), y.alias("y"))))["y"]
-        return F.when(_empty(x), let(tried, lambda v: F.when(_empty(v), rest()).otherwise(v))).otherwise(x)
+        return F.when(_empty(x), let(tried, lambda v: F.xxhash64(F.when(_empty(v), rest()).otherwise(v), i))).otherwise(x)
     return F.transform(bins, fill)
 
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..storage import ship
-from . import fingerprints, mixing, packing, quality, rules, simhash
+from . import fingerprints, mixing, packing, privacy, quality, rules, secrets, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,6 +31,16 @@ def op4_quality_classifier(spark, sf_dir):
     return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_query
+def op5_personal_data(spark, sf_dir):
+    return privacy.digest(privacy.find(_documents(spark, sf_dir)))
+
+
+@_query
+def op6_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.find(_documents(spark, sf_dir)))
+
+
 @_query
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
