@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..storage import ship
-from . import extraction, fingerprints, mixing, packing, privacy, quality, rules, secrets, simhash
+from . import extraction, fingerprints, mixing, packing, privacy, quality, rules, secrets, simhash, suffixes
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -26,6 +26,11 @@ def op1_document_fingerprints(spark, sf_dir):
         c: fingerprints.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+@_query
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffixes.digest(suffixes.dedup(_documents(spark, sf_dir)))
+
+
 @_query
 def op3_html_extraction(spark, sf_dir):
     return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
