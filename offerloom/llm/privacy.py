@@ -219,13 +219,15 @@ def mask(text: str | None, spans) -> str | None:
     return "".join([*out, text[free:]])
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, in all their columns, with the text masked."""
+def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The rows of `docs`, in all their columns, with the text masked. `length_col`, if given, is
+    set to the code points of a masked text."""
     spans = find(docs, id_col, text_col).where(F.size("all") > 0).select(
         F.col("doc_id").alias("_i"), F.col("h").alias("_j"), F.col("all").alias("_spans")).dropDuplicates(["_i", "_j"])
+    names = docs.columns
     keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     joined = keyed.join(spans, F.expr("_id <=> _i and _h = _j"), "left")
-    at, names = docs.columns.index(text_col), docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for b in batches:
@@ -233,5 +235,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             new = [mask(t.as_py(), [(x["start"], x["ord"], x["end"]) for x in s.as_py()]) if s.is_valid else t.as_py() for t, s in zip(texts, spans)]
             cols = [b.column(i) for i in range(len(names))]
             cols[at] = pa.array(new, pa.string())
+            if length_col:
+                k = names.index(length_col)
+                cols[k] = pa.array([len(n) if s.is_valid and n is not None else x for n, s, x in zip(new, spans, cols[k].to_pylist())], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names)
     return joined.select(*names, "_spans").mapInArrow(run, docs.schema)

@@ -39,13 +39,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; fp holds the 64 bits as a signed number."""
+    """(doc_id, h, fp) for every row: the text's hash, and the 64 bits as a signed number."""
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], ["doc_id", "fp"])
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, fp long")
+                [b.column(0), b.column(2), pa.array([fingerprint(t.as_py()) for t in b.column(1)], pa.int64())], ["doc_id", "h", "fp"])
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(
+        run, "doc_id long, h long, fp long")
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of `docs`: documents whose fingerprints differ
+    """(doc_id, h, fp, component_id) for every row of `docs`: documents whose fingerprints differ
     in at most three bits are linked, component_id is the smallest doc_id reachable. Null and
     empty texts have fingerprint zero and link like any other; repeated rows stay. A component
     in which no row has a doc_id gets null. An empty table gives no rows."""
@@ -139,7 +140,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = stored(rooted, "simhash-roots")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(by_fp, "fp").select("doc_id", "h", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, in all their columns, that stay when one row of each group does: the one
+    with the smallest doc_id, of several such rows the one with the smallest text hash. Rows
+    without a doc_id can't be told apart and stay."""
+    h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    groups = near_duplicates(docs, id_col, text_col).where("doc_id is not null")
+    first = stored(groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("r")).select(
+        F.col("r.doc_id").alias("_i"), F.col("r.h").alias("_j")), "representatives")
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": h})
+    kept = keyed.join(first, F.expr("_id = _i and _h = _j"), "left_semi")
+    equal = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
+    if equal.limit(1).count():
+        kept = kept.dropDuplicates(["_id", "_h"])
+    return kept.unionByName(keyed.where("_id is null")).select(*docs.columns)
 
 
 def unsigned_hex(c):
