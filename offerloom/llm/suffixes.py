@@ -257,7 +257,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     contexts = stored(contexts, "differing")
     sorted_ = contexts.where("not large").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_spans, _RUN)
     strings = contexts.where("large").mapInArrow(_strings, "key binary, row long, start int, sole boolean")
-    twice = strings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # a string lies in the contexts of all anchors that it holds: places count, not rows
+    place = F.struct("row", "start")
+    twice = strings.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.min("sole").alias("sole")).where(
+        "a <> b or not sole").select("key")
     counted = strings.where("sole").join(twice, "key").select("row", "start", (F.col("start") + LENGTH).alias("end"))
     spans = settled.unionByName(sorted_).unionByName(counted).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return spans.join(names, "row").groupBy("doc_id", "h").agg(F.first("spans").alias("spans"))
