@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import boosting, dom
 
 #: Made pages the trees are trained on, and their seed.
-PAGES, SEED = 500, 7
+PAGES, SEED = 360, 7
 #: Pages whose nodes are scored together.
 _TOGETHER = 64
 _MAIN = "\ue000"
@@ -52,8 +52,20 @@ class _Layouts:
         attr = f' class="{named}"' if how < 0.5 else f' id="{named}"' if how < 0.7 else f' class="{named}-{self.r.choice(["box", "inner", "wrap", "1"])}"'
         return f"<{tag}{attr if tag in ('div', 'section', 'ul') or how < 0.3 else ''}>{body}</{tag}>"
 
+    def flow(self, n, mark="", style=0):
+        """Words, at times with inline elements and breaks between and inside them."""
+        r = self.r
+        if r.random() < 0.65:
+            return mark + self.words(n, style)
+        out = []
+        for _ in range(r.randint(2, 6)):
+            tag = r.choice(["b", "i", "em", "strong", "span", "a href='/z'", "code", "br", "br", "sup"])
+            part = mark + self.words(r.choice([1, 1, 2, 4, max(1, n // 2)]), style)
+            out.append(part if r.random() < 0.5 else f"<br>{part}" if tag == "br" else f"<{tag}>{part}</{tag.split()[0]}>")
+        return r.choice(["", " "]).join(out)
+
     def p(self, n, mark="", style=0):
-        return f"<p>{mark}{self.words(n, style)}</p>"
+        return f"<p>{self.flow(n, mark, style)}</p>"
 
     def rest(self, kind):
         r = self.r
@@ -84,14 +96,14 @@ class _Layouts:
         if k < 0.77:
             return f"<p>{_MAIN}{self.words(n, style)} <a href='/y'>{_MAIN}{self.words(2)}</a> {_MAIN}{self.words(n, style)}</p>"
         if k < 0.83:
-            return "<ul>" + "".join(f"<li>{_MAIN}{self.words(r.randint(1, 20), style)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
+            return "<ul>" + "".join(f"<li>{self.flow(r.randint(1, 20), _MAIN, style)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
         if k < 0.87:
-            return f"<blockquote>{_MAIN}{self.words(n, style)}</blockquote>"
+            return f"<blockquote>{self.flow(n, _MAIN, style)}</blockquote>"
         if k < 0.91:
             return "<table>" + "".join(f"<tr><td>{_MAIN}{self.words(2, style)}</td><td>{_MAIN}{self.words(2)}</td></tr>" for _ in range(r.randint(1, 3))) + "</table>"
         if k < 0.95:
             return f"<pre>{_MAIN}{self.words(n, style)}</pre>"
-        return f"<figure><img src='/a.png'><figcaption>{_MAIN}{self.words(6)}</figcaption></figure>" if k < 0.98 else f"<div>{_MAIN}{self.words(n, style)}</div>"
+        return f"<figure><img src='/a.png'><figcaption>{_MAIN}{self.words(6)}</figcaption></figure>" if k < 0.98 else f"<div>{self.flow(n, _MAIN, style)}</div>"
 
     def page(self):
         r = self.r
@@ -126,8 +138,8 @@ class _Layouts:
 def _labelled(source: str):
     """A made page without its marks, and per node whether article text is under it."""
     page = dom.read(source)
-    main = np.array([t.startswith(_MAIN) for t in page.text], float)
-    page.text = [t.removeprefix(_MAIN) for t in page.text]
+    main = np.array([_MAIN in t for t in page.text], float)
+    page.text = [t.replace(_MAIN, "") for t in page.text]
     end = np.array(page.end)
     c = np.concatenate([[0], main.cumsum()])
     return dom.features(page), (c[end] - c[:len(end)] > 0).astype(float)
@@ -138,12 +150,14 @@ def trained(pages: int = PAGES, seed: int = SEED) -> boosting.Trees:
     made = _Layouts(seed)
     rows = [_labelled(made.page()) for _ in range(pages)]
     x, y = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    return boosting.fit(x, y, trees=70, depth=5, rate=0.25, bins=32, least=6.0)
+    return boosting.fit(x, y, trees=60, depth=5, rate=0.25, bins=32, least=6.0)
 
 
 def decoded(page: dom.Page, margin: np.ndarray) -> np.ndarray:
     """The likeliest choice in which every kept node's parent is kept."""
     n = len(margin)
+    if not n:
+        return np.zeros(0, bool)
     kept, dropped = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
     end = np.array(page.end)
     c = np.concatenate([[0], dropped.cumsum()])

@@ -98,8 +98,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """(doc_id, size, source_size, target, taken) per row; taken counts the words of all copies.
     Null texts have no words; a null source is a source of its own, the last. Equal rows are
     taken together. An empty table gives no rows."""
-    out = _copies(docs, weights, share, most, seed, id_col, text_col, source_col)
-    return out.select(F.col(id_col).alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    out = _copies(rows, weights, share, most, seed, "doc_id", "_text", "_source")
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target",
                       (F.col("_copies") * F.col("_size")).alias("taken"))
 
 

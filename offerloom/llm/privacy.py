@@ -225,9 +225,10 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     spans = find(docs, id_col, text_col).where(F.size("all") > 0).select(
         F.col("doc_id").alias("_i"), F.col("h").alias("_j"), F.col("all").alias("_spans")).dropDuplicates(["_i", "_j"])
     names = docs.columns
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    joined = keyed.join(spans, F.expr("_id <=> _i and _h = _j"), "left")
     at = names.index(text_col)
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name of the input clashes
+    keyed = own.withColumns({"_id": F.col(f"c{names.index(id_col)}").cast("long"), "_h": F.xxhash64(F.coalesce(F.col(f"c{at}").cast("string"), F.lit("")))})
+    joined = keyed.join(spans, F.expr("_id <=> _i and _h = _j"), "left")
 
     def run(batches):
         for b in batches:
@@ -239,4 +240,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 k = names.index(length_col)
                 cols[k] = pa.array([len(n) if s.is_valid and n is not None else x for n, s, x in zip(new, spans, cols[k].to_pylist())], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names)
-    return joined.select(*names, "_spans").mapInArrow(run, docs.schema)
+    return joined.select(*own.columns, "_spans").mapInArrow(run, docs.schema)

@@ -147,16 +147,18 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of `docs`, in all their columns, that stay when one row of each group does: the one
     with the smallest doc_id, of several such rows the one with the smallest text hash. Rows
     without a doc_id can't be told apart and stay."""
-    h = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name of the input clashes
+    text, number = (F.col(f"c{names.index(c)}") for c in (text_col, id_col))
     groups = near_duplicates(docs, id_col, text_col).where("doc_id is not null")
     first = stored(groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("r")).select(
         F.col("r.doc_id").alias("_i"), F.col("r.h").alias("_j")), "representatives")
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_h": h})
+    keyed = own.withColumns({"_id": number.cast("long"), "_h": F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))})
     kept = keyed.join(first, F.expr("_id = _i and _h = _j"), "left_semi")
     equal = groups.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
     if equal.limit(1).count():
         kept = kept.dropDuplicates(["_id", "_h"])
-    return kept.unionByName(keyed.where("_id is null")).select(*docs.columns)
+    return kept.unionByName(keyed.where("_id is null")).select(*own.columns).toDF(*names)
 
 
 def unsigned_hex(c):

@@ -37,7 +37,7 @@ def test_stages_in_turn(spark):
 
     fourth = stored(stage["source mixing"](spark, third, SF), "t")
     words = lambda df: sum(len(r.text.split()) for r in df.collect())
-    assert fourth.columns == docs.columns and abs(words(fourth) / words(third) - 1.5) < 0.02
+    assert fourth.columns == docs.columns and abs(words(fourth) / words(third) - 1.5) < 0.05  # twenty small sources, each within a document of its target
     last = stage["best-fit packing"](spark, fourth, SF).toPandas()
     assert (last.piece == 0).sum() == fourth.count()
     _gapless(last)
