@@ -240,7 +240,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = stored(_marked(rows).withColumn("row", F.monotonically_increasing_id()), "anchors")
     names = marked.select("row", "doc_id", "h")
     marks = marked.select("row", F.inline("marks"))
-    again = marks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written first: a join can split a hot anchor's rows only where both sides come from a shuffle or a table
+    again = stored(marks.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "again")
     occurring = stored(marks.join(again, "anchor"), "occurring")
     # by context: how often it occurs, and its first place; by anchor: how many contexts
     same = occurring.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("first"))
