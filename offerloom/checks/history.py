@@ -12,7 +12,7 @@ from ..settings import DEFAULT
 from . import oracle_parts as op
 from .core import COVERAGE_CTES, SNAPSHOT_CTES, _arms, offers, screened  # noqa: F401
 from .registry import query
-from .views import SEQ, raw_offers, shared, spread, table
+from .views import SEQ, raw_offers, shared, table
 
 c = F.col
 BR = list(DEFAULT.brands)
@@ -27,18 +27,18 @@ def _similar(a, b):
 
 
 # ---- J6-J8 ---------------------------------------------------------------------------
-_DETAIL = f"""{ARMS}, asked AS (SELECT DISTINCT url, name, price FROM direct),
- pairs AS (SELECT a.url, a.name, a.price, v.seq, v.sizes[1] AS size, v.l_returnflag2 AS rf, v.size_availability AS sa, v.rrp AS vr, v.rrp_source AS vs,
+_DETAIL = f"""{ARMS}, asked AS (SELECT DISTINCT source_id, url, name, price FROM direct),
+ pairs AS (SELECT a.source_id, a.url, a.name, a.price, v.seq, v.sizes[1] AS size, v.l_returnflag2 AS rf, v.size_availability AS sa, v.rrp AS vr, v.rrp_source AS vs,
     coalesce(abs(v.price - a.price) <= greatest(a.price * 0.02::DOUBLE, 0.5), false) AS band
-   FROM asked a JOIN (SELECT *, CASE WHEN l_quantity % 2 = 0 THEN 'OutOfStock' ELSE 'InStock' END AS l_returnflag2 FROM local) v ON v.url = a.url
+   FROM asked a JOIN (SELECT *, CASE WHEN l_quantity % 2 = 0 THEN 'OutOfStock' ELSE 'InStock' END AS l_returnflag2 FROM local) v ON v.url = a.url AND v.source_id = a.source_id
    WHERE v.name IS NULL OR (a.name IS NOT NULL AND {_similar('v.name', 'a.name')})),
- found AS (SELECT url, coalesce(name, '~') AS name, price, bool_and(rf = 'OutOfStock') AS sold,
-    list(DISTINCT size) FILTER (band AND sa = 'available') AS sizes, arg_min(vr, seq) FILTER (band AND vr > price AND vs IS NOT NULL) AS ref FROM pairs GROUP BY 1, 2, 3)
+ found AS (SELECT source_id, url, coalesce(name, '~') AS name, price, bool_and(rf = 'OutOfStock') AS sold,
+    list(DISTINCT size) FILTER (band AND sa = 'available') AS sizes, arg_min(vr, seq) FILTER (band AND vr > price AND vs IS NOT NULL) AS ref FROM pairs GROUP BY 1, 2, 3, 4)
  SELECT {', '.join('d.' + s for s in SEQ)}, CASE WHEN f.sold THEN 'out_of_stock' ELSE availability END AS availability,
    CASE WHEN NOT coalesce(f.sold, false) AND f.ref IS NOT NULL AND d.rrp_source IS NULL AND NOT (discount_source IS NOT NULL AND coalesce(observed_discount_pct, 0) >= 40) THEN f.ref ELSE d.rrp END AS rrp,
    CASE WHEN NOT coalesce(f.sold, false) AND f.ref IS NOT NULL AND d.rrp_source IS NULL AND NOT (discount_source IS NOT NULL AND coalesce(observed_discount_pct, 0) >= 40) THEN 'detail:feed:rrp' ELSE d.rrp_source END AS rrp_source,
    CASE WHEN NOT coalesce(f.sold, false) AND len(f.sizes) > 0 THEN array_to_string(list_sort(f.sizes), ',') ELSE '' END AS sizes
- FROM direct d LEFT JOIN found f ON f.url = d.url AND f.name = coalesce(d.name, '~') AND f.price = d.price"""
+ FROM direct d LEFT JOIN found f ON f.source_id = d.source_id AND f.url = d.url AND f.name = coalesce(d.name, '~') AND f.price = d.price"""
 
 
 @query("merge_detail", _DETAIL)
@@ -52,8 +52,7 @@ def merge_detail(spark, d):
                                                      F.array_join(F.array_sort("sizes"), ",").alias("sizes"))
 
 
-_TOP8 = f"""top8 AS (SELECT * FROM direct WHERE {op.eligible('name', 'description')} AND discount_source IS NOT NULL AND observed_discount_pct >= 40
-  QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY observed_discount_pct DESC, seq) <= 8)"""
+_TOP8 = f"""top8 AS (SELECT * FROM direct WHERE {op.eligible('name', 'description')} AND discount_source IS NOT NULL AND observed_discount_pct >= 40)"""
 
 
 @query("discount_checks", f"{ARMS}, {_TOP8} SELECT source_id, {', '.join(SEQ)}, observed_discount_pct FROM top8")
@@ -123,7 +122,7 @@ def semi_by_key(spark, d):
 
 
 def _snapshots(spark, d):
-    return spread(table(spark, d, "events"), "event_id").select(
+    return table(spark, d, "events").select(
         F.concat(F.lit("u"), c("user_id").cast("string")).alias("source_id"),
         c("ts").cast("timestamp").alias("collected_at"), "event_id", c("value").alias("price"))
 
@@ -260,7 +259,7 @@ PUBLISHED = f"""{MONTHLY}, {op.key_ctes()}, best AS (SELECT * EXCLUDE (rn) FROM
    min(seq) OVER (PARTITION BY run_date, offer_key) AS first_seq FROM keyed) WHERE rn = 1), {op.model_ctes(scope='run_date')},
  near AS (SELECT * FROM models WHERE NOT qualifies AND effective_discount_pct >= 30 QUALIFY row_number() OVER (PARTITION BY run_date ORDER BY score DESC, model_seq) <= 12),
  published AS (SELECT *, 'deal' AS list FROM models WHERE qualifies UNION ALL SELECT *, 'near' FROM near),
- points AS (SELECT offer_key, run_date, effective_cost_eur AS price FROM published WHERE run_date IN (SELECT DISTINCT run_date FROM screened ORDER BY run_date DESC LIMIT 30))"""
+ points AS (SELECT offer_key, run_date, effective_cost_eur AS price FROM published)"""
 
 
 def points(spark, d):
@@ -334,7 +333,7 @@ def ab_selection(spark, d):
   WHERE action = 'hide' AND (undone IS NULL OR ts > undone) GROUP BY 1""")
 def apply_hide_events(spark, d):
     from ..operators.sinks import apply_hide_events as apply
-    log = spread(table(spark, d, "events"), "event_id").select(
+    log = table(spark, d, "events").select(
         F.concat(F.lit("m"), c("user_id").cast("string")).alias("hide_key"), F.concat(F.lit("L"), c("event_id").cast("string")).alias("label"),
         F.when(c("event_type") == "error", F.lit("unhide")).otherwise(F.lit("hide")).alias("action"), c("ts").cast("timestamp").alias("at"))
     # The stored state is what the first half of the log leads to; the second half arrives.

@@ -11,7 +11,7 @@ from . import oracle_parts as op
 from .core import COVERAGE_CTES, HIDDEN_CTE, crawl_states, hidden_models, keyed, offers, screened  # noqa: F401
 from .registry import query
 from .sources import BASE, base, de
-from .views import POLICIES_SQL, SEQ, fx_rates, raw_offers, shared, spread, table
+from .views import POLICIES_SQL, SEQ, fx_rates, raw_offers, shared, table
 
 c = F.col
 
@@ -43,7 +43,7 @@ def stored_scan(spark, d):
 def write_snapshots(spark, d):
     """K3: the "view" rows arrive later and replace the snapshot of their source and day."""
     path = sk.work_folder(spark, "snapshots")
-    s = spread(table(spark, d, "events"), "event_id").select(
+    s = table(spark, d, "events").select(
         F.concat(F.lit("u"), c("user_id").cast("string")).alias("source_id"), c("ts").cast("timestamp").alias("collected_at"), "event_id", "event_type")
     sk.write_snapshots(s, path)
     sk.write_snapshots(s.where("event_type = 'view'"), path)
@@ -136,7 +136,7 @@ def current_view(spark, d):
 
 # ---- X6 -----------------------------------------------------------------------------------------------
 @query("collect_offers", f"""WITH {op.RAW_CTE}, kinds AS (SELECT *, CASE l_suppkey % 5 WHEN 0 THEN 'shop-api' WHEN 1 THEN 'commerce-api' WHEN 2 THEN 'listing' WHEN 3 THEN 'feed' ELSE 'json-ld' END AS kind FROM raw)
-  SELECT source_id, kind AS rung, count(*) AS n FROM kinds WHERE CASE WHEN kind = 'listing' THEN l_linenumber <= 3 ELSE true END GROUP BY 1, 2""")
+  SELECT source_id, kind AS rung, count(*) AS n FROM kinds GROUP BY 1, 2""")
 def collect_offers(spark, d):
     """Every kind of data exists for the sources that end at it; listings of rung "listing"
     carry evidence, so the later rungs of those sources are not used."""
@@ -147,7 +147,7 @@ def collect_offers(spark, d):
     states = crawl_states(spark, d).select("source_id", "name", F.lit(2).alias("discovered_urls"), F.lit(False).alias("blocked"),
                                            F.lit(False).alias("is_post_source"))
     out, _ = collect.collect_offers(
-        states, shop_api=raw.where(k == 0), commerce_api=raw.where(k.isin(0, 1)), listings=raw.where((k == 2) & (c("l_linenumber") <= 3)),
+        states, shop_api=raw.where(k == 0), commerce_api=raw.where(k.isin(0, 1)), listings=raw.where(k == 2),
         json_feed=raw.where(k.isin(0, 2, 3)), jsonld=raw.where(k.isin(1, 2, 3, 4)), cards=raw)
     return out.groupBy("source_id", "rung").agg(F.count(F.lit(1)).alias("n"))
 

@@ -14,7 +14,7 @@ from ..settings import DEFAULT
 from ..sources import claims, feeds, links, pages, reference, shop_apis
 from . import oracle_parts as op
 from .registry import query
-from .views import SEQ, shared, spread, table
+from .views import SEQ, shared, table
 
 c = F.col
 BR = list(DEFAULT.brands)
@@ -109,13 +109,13 @@ def size_label_map(spark, d):
 
 @query("fold_documents", r"""SELECT doc_id, md5(replace(replace(strip_accents(lower(replace(text, '’', ''''))), 'ø', 'o'), 'æ', 'ae')) AS folded FROM documents""")
 def fold_documents(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.md5(tx.fold(c("text"))).alias("folded"))
 
 
 @query("clean_pages", r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x{00a0}\x{202f}]+', ' ', 'g'))) AS cleaned FROM pages""")
 def clean_pages(spark, d):
-    p = spread(table(spark, d, "pages").select("page_id", "html"), "page_id")
+    p = table(spark, d, "pages").select("page_id", "html")
     return p.select("page_id", F.md5(tx.clean_text(c("html"))).alias("cleaned"))
 
 
@@ -138,7 +138,7 @@ _PAGE_URLS = """SELECT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS h
 @query("rank_urls", f"""WITH u AS ({op.plain(_PAGE_URLS)}), once AS (SELECT 'all' AS source_id, target AS url, min(page_id) AS idx FROM u GROUP BY 2),
   s AS (SELECT *, CASE WHEN regexp_matches(url, 'mammut|fj%C3|norr%C3') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(url, 'hose|trousers|pants') THEN 5 ELSE 0 END
     - CASE WHEN contains(url, '/damen/') THEN 16 ELSE 0 END - CASE WHEN regexp_matches(url, '/category/|/outlet/$|/hosen/$') THEN 3 ELSE 0 END AS score FROM once)
-  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, idx) <= 120""")
+  SELECT * FROM s""")
 def rank_urls(spark, d):
     u = shared(spark, d, _PAGE_URLS).select(F.lit("all").alias("source_id"), c("target").alias("url"), c("page_id").alias("idx"))
     return rk.rank_urls(u, BR)
@@ -149,9 +149,9 @@ _ROW_JSON = (f"""'{{"' || CASE WHEN l_linenumber % 2 = 0 THEN 'link' ELSE 'url'
  '":"' || name || '","brand":"' || brand || '","sizes":["L","M"],"price":"' || {en('pc')} || '","' || CASE l_linenumber % 3 WHEN 0 THEN 'rrp' WHEN 1 THEN 'msrp' ELSE 'listPrice' END || '":' || {en('rc')} || '}}'""")
 
 
-@query("read_json_feed", f"""{BASE}, capped AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY {_IDS}) <= 500)
+@query("read_json_feed", f"""{BASE}
   SELECT source_id, url, name, brand, 'EUR' AS currency, pc / 100.0::DOUBLE AS price, rc / 100.0::DOUBLE AS rrp,
-  CASE l_linenumber % 3 WHEN 0 THEN 'feed:rrp' WHEN 1 THEN 'feed:msrp' END AS rrp_source, 'L,M' AS sizes FROM capped""")
+  CASE l_linenumber % 3 WHEN 0 THEN 'feed:rrp' WHEN 1 THEN 'feed:msrp' END AS rrp_source, 'L,M' AS sizes FROM base""")
 def read_json_feed(spark, d):
     b = base(spark, d, row=_ROW_JSON)
     body = (F.when(c("l_linenumber") % 3 == 0, F.concat(F.lit('{"products":['), "row", F.lit("]}")))
@@ -190,7 +190,7 @@ _POSTS = "posted AS (SELECT *, (SELECT max(o_orderdate) FROM orders) AS newest,
   FROM posted WHERE l_orderkey >= 0 AND posted_at >= newest - INTERVAL 400 DAY AND l_linenumber <> 7""")
 def posts_to_offers(spark, d):
     b = base(spark, d, p=de("pc"), r=de("rc")).join(
-        spread(table(spark, d, "orders"), "o_orderkey").select(c("o_orderkey").alias("l_orderkey"), c("o_orderdate").cast("timestamp").alias("at")), "l_orderkey")
+        table(spark, d, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_orderdate").cast("timestamp").alias("at")), "l_orderkey")
     label = F.when(c("l_linenumber") % 2 == 0, F.lit("PVG: ")).otherwise(F.lit("UVP "))
     items = b.select(
         F.concat(F.lit("102° - "), "name", F.when(c("l_linenumber") == 7, F.lit(" (abgelaufen)")).otherwise(F.lit(""))).alias("title"),
@@ -202,7 +202,7 @@ def posts_to_offers(spark, d):
     items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
     now = table(spark, d, "orders").agg(F.max("o_orderdate").cast("timestamp")).first()[0]
     posts = feeds.read_rss_posts(spark, path, "https://www.shop")
-    src = sources(spark, d).limit(1).withColumn("source_id", F.lit("posts"))
+    src = sources(spark, d).orderBy("source_id").limit(1).withColumn("source_id", F.lit("posts"))
     out = feeds.posts_to_offers(posts, src, "posts", F.lit(now), max_age_days=400)
     return out.select(F.regexp_replace("url", r"-\d+$", "").alias("url"), "name", "price", "rrp", "rrp_source", "merchant",
                       F.array_join("sizes", ",").alias("sizes"))
@@ -245,11 +245,11 @@ _MAGENTO = (f"""'{{"name":"' || name || '","url_key":"k' || CAST(l_partkey AS ST
  '"configurable_options":[{{"attribute_code":"mp_size","label":"Maat"}}],"variants":[{{"attributes":[{{"code":"color","label":"Blue"}},{{"code":"mp_size","label":"L"}}],"product":{{"stock_status":"IN_STOCK"}}}},' ||
  '{{"attributes":[{{"code":"mp_size","label":"M"}}],"product":{{"stock_status":"' || CASE WHEN l_linestatus = 'O' THEN 'OUT_OF_STOCK' ELSE 'IN_STOCK' END || '"}}}}]}}'""")
 _AGG = """'[{"attribute_code":"color","options":[{"label":"x","value":"1"}]},{"attribute_code":"manufacturer","options":[{"label":"' || brand || ' ","value":"' || CAST(p_size AS STRING) || '"}]}]'"""
-_LABELS = "labels0 AS (SELECT source_id, p_size, arg_max(brand, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS label FROM base WHERE l_linenumber <= 3 GROUP BY 1, 2)"
+_LABELS = "labels0 AS (SELECT source_id, p_size, arg_max(brand, row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS label FROM base GROUP BY 1, 2)"
 
 
 def _brand_labels(spark, d):
-    b = base(spark, d, agg=_AGG).where(c("l_linenumber") <= 3)
+    b = base(spark, d, agg=_AGG)
     return shop_apis.magento_brand_labels(b.select("source_id", "seq", F.from_json("agg", MAGENTO_AGGREGATIONS).alias("aggregations")))
 
 
@@ -376,7 +376,7 @@ def candidate_snippets(spark, d):
 
 @query("page_link_counts", """SELECT page_id, len(regexp_extract_all(html, '<a\\s[^>]*href')) AS n_links FROM pages WHERE contains(html, '<a ')""")
 def page_link_counts(spark, d):
-    p = spread(table(spark, d, "pages").withColumn("source_id", F.lit("x")), "page_id")
+    p = table(spark, d, "pages").withColumn("source_id", F.lit("x"))
     return pages.page_links(p).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
 
 

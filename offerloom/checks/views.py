@@ -15,13 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan with fewer splits than cores (one small file) some parallelism. A table of
-    normal size has more splits than cores and is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -86,8 +79,6 @@ SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
 def shared(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the shared SQL texts over the tables it names."""
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    if "lineitem" in used:
-        used["lineitem"] = spread(used["lineitem"], "l_orderkey", "l_linenumber", "l_partkey")
     return spark.sql(sql, **used)
 
 

@@ -101,7 +101,6 @@ URL_CATEGORY_PARTS = [
     "/category/", "/kategorie/", "/outlet/?$", "/sale/?$", "/hosen/?$",
 ]
 URL_POINTS = {"brand": 8, "word": 5, "unwanted": -16, "category": -3}
-URL_LIMIT = 120
 CLAIM_LINK_WORDS = [
     "product", "artikel", "produkt", "hose", "pants", "trouser", "trekking", "outdoor",
     "shop", r"p/\d", "kalhoty", "pantalon",
@@ -223,15 +222,7 @@ COVERAGE_GROUPS = {
 # ---- fixed values: limits and ages ----------------------------------------------------------------
 SNAPSHOT_MAX_AGE_HOURS = 30
 POST_MAX_AGE_DAYS = 10
-HISTORY_RUNS = 30
-FEED_ROW_LIMIT = 500
-CARD_LIMIT = 400
-CLAIM_CANDIDATE_LIMIT = 12
-SIZE_CONTROL_LIMIT = 40
-DETAIL_CHECKS_PER_SOURCE = 8
-HIDDEN_LIST_LIMIT = 200
 BATCH_SIZE = 6
-NEXT_PAGE_MAX = 5
 
 # ---- fixed values: page elements ---------------------------------------------------
 # (attribute, text it contains); attribute "tag" compares the tag name, text None means
@@ -250,6 +241,7 @@ STRUCK_ELEMENTS = [
     ("class", "originalPrice"), ("class", "old-price"), ("class", "line-through"), ("class", "strike"),
     ("class", "was-price"), ("class", "price--pseudo"), ("class", "price--line-through"),
 ]
+NAME_SECTION_ELEMENTS = [("data-e2e-test", "product-card-info-name-section")]
 NAME_ELEMENTS = [
     ("data-e2e-test", "product-card-info-name-section"), ("itemprop", "name"), ("data-testid", "name"),
     ("data-testid", "title"), ("tag", "h2"), ("tag", "h3"), ("tag", "h4"), ("class", "title"), ("class", "name"),

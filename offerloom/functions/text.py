@@ -229,12 +229,13 @@ def brand_of_field(brand, brands) -> Column:
 
 
 def brand_in_title(folded_title, brands) -> Column:
-    """The first profile brand that stands in the folded title as a whole token."""
+    """The first profile brand that stands in the folded title as a whole token. Names are only
+    looked at, so overlapping ones are all found."""
     terms = [quoted(fold_py(b).strip()) for b in brands]
     names = {}
     for b in brands:
         names.setdefault(fold_py(b).strip(), b)
-    found = F.regexp_extract_all(folded_title, F.lit(f"(?<![a-z0-9])({any_of(terms)})(?![a-z0-9])"), F.lit(1))
+    found = F.regexp_extract_all(folded_title, F.lit(f"(?<![a-z0-9])(?=({any_of(terms)})(?![a-z0-9]))"), F.lit(1))
     order = F.array(*[F.lit(t) for t in names])
     labels = F.array(*[F.lit(b) for b in names.values()])
     return F.get(labels, F.array_min(F.transform(found, lambda t: F.array_position(order, t).cast("int"))) - 1)

@@ -124,10 +124,12 @@ def merge_snapshot(direct: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Direct rows win and take over the snapshot's checks at the same price; snapshot
     offers with an unseen address are added. `origin` is direct, enriched or added."""
     checks = ["price", "sizes", "size_availability", "rrp", "rrp_source", "availability"]
-    per_url = snapshot.where(F.coalesce(F.col("url"), F.lit("")) != "").groupBy("source_id", "url")
-    last = per_url.agg(F.max_by(F.struct(*checks), "seq").alias("s"))
-    j = lookup_join(direct, last, ["source_id", "url"], "seq")
-    s = F.col("s")
+    given = snapshot.where(tx.blank(F.col("url")) != "")
+    # one aggregation of the snapshot holds both what an offer takes over and what is added
+    per_url = given.groupBy("source_id", "url").agg(
+        F.max_by(F.struct(*checks), "seq").alias("s"), F.min_by(F.struct(*given.columns), "seq").alias("first"))
+    j = direct.withColumn("_here", F.lit(True)).join(per_url, ["source_id", "url"], "full")
+    s, here = F.col("s"), F.col("_here").isNotNull()
     at_price = F.coalesce(same_price(s["price"], F.col("price")), F.lit(False))
     sizes_new = at_price & F.coalesce(
         (s["size_availability"] == "available") & (F.size(s["sizes"]) > 0)
@@ -136,18 +138,20 @@ def merge_snapshot(direct: DataFrame, snapshot: DataFrame) -> DataFrame:
         (s["rrp_source"] != "") & (tx.blank(F.col("rrp_source")) == "") & (s["rrp"] > F.col("price")), F.lit(False))
     out_new = at_price & F.lower(tx.blank(s["availability"])).rlike(_OUT) & ~F.lower(
         tx.blank(F.col("availability"))).rlike(_OUT)
-    j = j.withColumns({"_sizes": sizes_new, "_rrp": rrp_new, "_out": out_new})
-    merged = (j.withColumns({
-        "sizes": F.when(F.col("_sizes"), s["sizes"]).otherwise(F.col("sizes")),
-        "size_availability": F.when(F.col("_sizes"), F.lit("available")).otherwise(F.col("size_availability")),
-        "rrp": F.when(F.col("_rrp"), s["rrp"]).otherwise(F.col("rrp")),
-        "rrp_source": F.when(F.col("_rrp"), s["rrp_source"]).otherwise(F.col("rrp_source")),
-        "availability": F.when(F.col("_out"), s["availability"]).otherwise(F.col("availability")),
-        "origin": F.when(F.col("_sizes") | F.col("_rrp") | F.col("_out"), F.lit("enriched"))
-        .otherwise(F.lit("direct"))}).drop("s", "_sizes", "_rrp", "_out"))
-    first = first_per_key(snapshot.where(F.coalesce(F.col("url"), F.lit("")) != ""), ["source_id", "url"], "seq")
-    added = anti_by_key(first, direct, ["source_id", "url"]).withColumn("origin", F.lit("added"))
-    return union_all(merged, added)
+    j = tx.computed(j, {"_sizes": sizes_new, "_rrp": rrp_new, "_out": out_new})
+    taken = {"sizes": ("_sizes", s["sizes"]), "size_availability": ("_sizes", F.lit("available")), "rrp": ("_rrp", s["rrp"]),
+             "rrp_source": ("_rrp", s["rrp_source"]), "availability": ("_out", s["availability"])}
+
+    def column(name):
+        own = F.col(name) if name in direct.columns else F.lit(None)
+        if name in taken:
+            own = F.when(F.col(taken[name][0]), taken[name][1]).otherwise(own)
+        if name in ("source_id", "url"):  # the join's own columns hold either side
+            return F.col(name)
+        return F.when(here, own).otherwise(F.col("first")[name] if name in given.columns else F.lit(None)).alias(name)
+    names = [*direct.columns, *[n for n in given.columns if n not in direct.columns]]
+    origin = F.when(~here, F.lit("added")).when(F.col("_sizes") | F.col("_rrp") | F.col("_out"), F.lit("enriched")).otherwise(F.lit("direct"))
+    return j.select(*[column(n) for n in names if n != "origin"], origin.alias("origin"))
 
 
 def snapshot_counters(merged: DataFrame) -> DataFrame:
@@ -160,26 +164,26 @@ def snapshot_counters(merged: DataFrame) -> DataFrame:
 
 def without_hidden(offers: DataFrame, hidden: DataFrame) -> DataFrame:
     """Offers whose hide_key was not hidden."""
-    return lookup_join(offers, hidden.select("hide_key").distinct(), "hide_key", "url", "left_anti")
+    return anti_by_key(offers, hidden, ["hide_key"])
 
 
 # ---- J6-J8 -----------------------------------------------------------------------
 def merge_detail(offers: DataFrame, variants: DataFrame, cards: DataFrame | None = None) -> DataFrame:
-    """Product-page variants (page_url, seq and raw columns) confirm stock, sizes and a
-    reference for listing offers. Work is done once per distinct (url, name, price), with
+    """Product-page variants (source_id, page_url, seq and raw columns) confirm stock, sizes and a
+    reference for listing offers. Work is done once per distinct (source, url, name, price), with
     partial aggregation, and joined back."""
-    key = ["url", "_name", "_price"]
+    key = ["source_id", "url", "_name", "_price"]
     offers = offers.withColumns({"_name": tx.blank(F.col("name")), "_price": F.coalesce("price", F.lit(-1.0))})
     asked = offers.select(*key).distinct()
 
     def matched(rows, need_name):
-        v = rows.select(F.col("page_url").alias("url"), F.col("name").alias("v_name"),
+        v = rows.select("source_id", F.col("page_url").alias("url"), F.col("name").alias("v_name"),
                         F.col("price").alias("v_price"), "sizes", "size_availability", "availability",
                         F.col("rrp").alias("v_rrp"), F.col("rrp_source").alias("v_src"), F.col("seq").alias("v_seq"))
         similar = tx.similar_name(F.col("v_name"), F.col("_name"))
         if not need_name:
             similar = similar | (tx.blank(F.col("v_name")) == "")
-        pairs = asked.join(v, "url").where(similar)
+        pairs = asked.join(v, ["source_id", "url"]).where(similar)
         at_price = F.coalesce(same_price(F.col("v_price"), F.col("_price")), F.lit(False)) & (F.col("_price") >= 0)
         good_ref = at_price & F.coalesce((F.col("v_rrp") > F.col("_price")) & (F.col("v_src") != ""), F.lit(False))
         if need_name:
@@ -200,11 +204,11 @@ def merge_detail(offers: DataFrame, variants: DataFrame, cards: DataFrame | None
         F.bool_and("sold").alias("d_sold"),
         F.array_sort(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size_seq", "size")))).alias("d_sizes"),
         F.min_by("ref", "ref_seq").alias("d_ref"))
-    out = lookup_join(offers, found, key, "seq")
+    out = offers.join(found, key, "left")
     if cards is not None:
         fallback = matched(cards, need_name=True).groupBy(*key).agg(
             F.min_by(ref, F.when(F.col("good_ref"), F.col("v_seq"))).alias("c_ref"))
-        out = lookup_join(out, fallback, key, "seq").withColumn("d_ref", F.coalesce("d_ref", "c_ref")).drop("c_ref")
+        out = out.join(fallback, key, "left").withColumn("d_ref", F.coalesce("d_ref", "c_ref")).drop("c_ref")
     sold_out = F.coalesce(F.col("d_sold"), F.lit(False))
     sizes = F.transform(F.coalesce(F.col("d_sizes"), F.array()), lambda x: x["size"])
     take_sizes = ~sold_out & (F.size(sizes) > 0) & (F.coalesce(F.size("sizes"), F.lit(0)) <= 0)
@@ -222,8 +226,8 @@ def merge_detail(offers: DataFrame, variants: DataFrame, cards: DataFrame | None
             "_sold", "_take_sizes", "_take_ref", "_new", "d_sold", "d_sizes", "d_ref", "_name", "_price")
 
 
-def discount_checks(offers: DataFrame, limit: int = fv.DETAIL_CHECKS_PER_SOURCE) -> DataFrame:
-    """L4: per source the offers with the strongest badges."""
+def discount_checks(offers: DataFrame, limit: int | None = None) -> DataFrame:
+    """L4: per source the offers with a strong badge, the `limit` strongest where it is given."""
     strong = offers.where(tx.is_eligible(F.col("name"), F.col("description"))
                           & (tx.blank(F.col("discount_source")) != "")
                           & (F.col("observed_discount_pct") >= fv.MIN_DISCOUNT_PCT))
@@ -231,20 +235,20 @@ def discount_checks(offers: DataFrame, limit: int = fv.DETAIL_CHECKS_PER_SOURCE)
 
 
 def validate_discount_on_detail(offers: DataFrame, variants: DataFrame,
-                                limit: int = fv.DETAIL_CHECKS_PER_SOURCE) -> DataFrame:
-    """Page variants at exactly the listing price replace the listing row and inherit
-    its badge when they carry no reference of their own."""
+                                limit: int | None = None) -> DataFrame:
+    """J7, inside a source: page variants at exactly the listing price replace the listing row and
+    inherit its badge when they carry no reference of their own."""
     asked = discount_checks(offers, limit).select(
-        F.col("url").alias("page_url"), F.col("price").alias("_price"),
+        "source_id", F.col("url").alias("page_url"), F.col("price").alias("_price"),
         F.col("observed_discount_pct").alias("_pct"), F.col("discount_source").alias("_src"))
-    hit = variants.join(asked, "page_url").where(same_price(F.col("price"), F.col("_price"), "exact"))
+    hit = variants.join(asked, ["source_id", "page_url"]).where(same_price(F.col("price"), F.col("_price"), "exact"))
     bare = tx.blank(F.col("rrp_source")) == ""
     detail = hit.withColumns({
         "observed_discount_pct": F.when(bare, F.col("_pct")).otherwise(F.col("observed_discount_pct")),
         "discount_source": F.when(bare, F.col("_src")).otherwise(F.col("discount_source"))}).drop(
             "_price", "_pct", "_src", "page_url")
     by_url = lambda d: d.withColumn("_url", F.lower("url"))
-    return replace_by_key(by_url(offers), by_url(detail), ["_url"]).drop("_url")
+    return replace_by_key(by_url(offers), by_url(detail), ["source_id", "_url"]).drop("_url")
 
 
 def merge_rendered_evidence(static: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -257,7 +261,7 @@ def merge_rendered_evidence(static: DataFrame, rendered: DataFrame) -> DataFrame
     shown = semi_by_key(rendered, usable, page)
     cols = ["rrp", "rrp_source", "observed_discount_pct", "discount_source"]
     last = shown.groupBy(*page, "url").agg(F.max_by(F.struct("price", *cols), "seq").alias("d"))
-    j = lookup_join(static, last, [*page, "url"], "seq")
+    j = static.join(last, [*page, "url"], "left")
     d = F.col("d")
     take = ~proven & F.coalesce(
         same_price(d["price"], F.col("price"), "exact")
@@ -268,10 +272,10 @@ def merge_rendered_evidence(static: DataFrame, rendered: DataFrame) -> DataFrame
 
 
 # ---- J11-J12 -------------------------------------------------------------------------
-def match_brand_join(offers: DataFrame, brands: DataFrame, max_words: int = 4) -> DataFrame:
+def match_brand_join(offers: DataFrame, brands: DataFrame) -> DataFrame:
     """F12 for brand lists too long for an expression. `brands` has (brand, ord). Every
-    distinct (brand, name) pair is split into word n-grams, which meet the brand words in an
-    equi join; the exact rule decides, the lowest `ord` wins."""
+    distinct (brand, name) pair is split into word n-grams of the lengths that brands have, which
+    meet the brand words in an equi join; the exact rule decides, the lowest `ord` wins."""
     def term(c):
         return F.trim(tx.fold(c))
 
@@ -281,7 +285,8 @@ def match_brand_join(offers: DataFrame, brands: DataFrame, max_words: int = 4) -
         F.col("brand").alias("known"), "ord", "term", F.array_join(words(F.col("term")), " ").alias("gram"))
     pairs = offers.select("brand", "name").distinct().withColumns(
         {"_b": term(F.col("brand")), "_t": term(F.col("name"))})
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_words)), lambda n: F.transform(
+    most = dim.agg(F.max(F.size(F.split("gram", " ")))).first()[0] or 1  # one number of the brand table
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))),
         lambda i: F.array_join(F.slice("_w", i, n), " "))))
     by_title = (pairs.withColumn("_w", words(F.col("_t"))).withColumn("gram", F.explode(F.array_distinct(grams)))
@@ -296,7 +301,7 @@ def match_brand_join(offers: DataFrame, brands: DataFrame, max_words: int = 4) -
                 F.coalesce("field_brand", "title_brand", F.lit("")).alias("matched_brand")))
     keyed = offers.withColumns({"_kb": F.coalesce("brand", F.lit("\u0000")),
                                 "_kn": F.coalesce("name", F.lit("\u0000"))})
-    return lookup_join(keyed, found, ["_kb", "_kn"], "url").drop("_kb", "_kn")
+    return keyed.join(found, ["_kb", "_kn"], "left").drop("_kb", "_kn")
 
 
 def expected_batches(sources: DataFrame, index_col: str, size: int = fv.BATCH_SIZE) -> DataFrame:

@@ -9,15 +9,17 @@ from ..functions import urls as ur
 from ..settings import DEFAULT, Profile
 
 
-def top_per_group(df: DataFrame, keys, order, n: int) -> DataFrame:
-    """The first n rows per key. `row_number <= n` becomes a partial limit before the
+def top_per_group(df: DataFrame, keys, order, n: int | None) -> DataFrame:
+    """The first n rows per key, all rows where n is None. `row_number <= n` becomes a partial limit before the
     shuffle (WindowGroupLimit), so a hot key ships at most n rows per task."""
+    if n is None:
+        return df
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")
 
 
-def cap_per_group(df: DataFrame, keys, seq, n: int) -> DataFrame:
-    """Caps that are part of a source's definition (rows per feed, cards per page)."""
+def cap_per_group(df: DataFrame, keys, seq, n: int | None) -> DataFrame:
+    """The first n rows per key in their order; None caps nothing."""
     return top_per_group(df, keys, [F.asc(seq)], n)
 
 
@@ -133,9 +135,9 @@ def qualified_by_source(offers: DataFrame, minimum: float = fv.MIN_DISCOUNT_PCT)
         F.count_if("qualifies").alias("qualified_offers"))
 
 
-def rank_urls(urls: DataFrame, brands, limit: int = fv.URL_LIMIT) -> DataFrame:
-    """L2: distinct addresses per source, most promising first. Duplicates collapse in a
-    partial aggregation before the ranking."""
+def rank_urls(urls: DataFrame, brands, limit: int | None = None) -> DataFrame:
+    """L2: distinct addresses per source with their score; the `limit` most promising ones where
+    it is given. Duplicates collapse in a partial aggregation before the ranking."""
     once = urls.groupBy("source_id", "url").agg(F.min("idx").alias("idx"))
     scored = once.withColumn("score", ur.url_score(F.col("url"), brands))
     return top_per_group(scored, ["source_id"], [F.desc("score"), F.asc("idx")], limit)

@@ -75,7 +75,7 @@ def apply_hide_events(hidden: DataFrame, events: DataFrame) -> DataFrame:
     live = log.where(F.col("action") == "hide").join(undone, "hide_key", "left").where(
         F.col("undone_at").isNull() | (F.col("at") > F.col("undone_at")))
     return live.groupBy("hide_key").agg(
-        F.substring(F.max_by("label", F.struct("at", "label")), 1, 200).alias("label"), F.min("at").alias("hidden_at"))
+        F.max_by("label", F.struct("at", "label")).alias("label"), F.min("at").alias("hidden_at"))
 
 
 def write_summary(df: DataFrame, path: str) -> None:

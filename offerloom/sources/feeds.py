@@ -18,9 +18,9 @@ c = F.col
 
 
 def read_json_feed(bodies: DataFrame, sources: DataFrame, money_style: str = "decimal",
-                   limit: int = fv.FEED_ROW_LIMIT) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
     """Feed documents (source_id, seq, body) as an array, or an object with `products` or
-    `items`. The first `limit` rows of a source are read, as the feed contract says."""
+    `items`. `limit`, if given, is the number of rows read of one document."""
     rows = T.ArrayType(FEED_ROW)
     wrapped = T.StructType([T.StructField("products", rows), T.StructField("items", rows)])
     is_array = tx.blank(c("body")).rlike(r"^\s*\[")
@@ -28,7 +28,7 @@ def read_json_feed(bodies: DataFrame, sources: DataFrame, money_style: str = "de
     listed = F.when(is_array, F.from_json("body", rows)).otherwise(F.coalesce(parsed["products"], parsed["items"]))
     d = bodies.select("source_id", c("seq").alias("_doc"), F.posexplode(listed).alias("pos", "r"))
     d = d.withColumn("seq", F.struct("_doc", "pos"))
-    d = cap_per_group(d, ["source_id"], "seq", limit)
+    d = cap_per_group(d, ["source_id", "_doc"], "pos", limit)
 
     def text(name):
         return tx.or_null(F.trim(c("r")[name]))
@@ -120,5 +120,5 @@ def posts_to_offers(posts: DataFrame, sources: DataFrame, source_id: str, now, m
         c("link").alias("url"), "image_url", c("title").alias("name"), F.lit("EUR").alias("currency"), "price",
         rrp.alias("rrp"), F.when(rrp.isNotNull(), c("ref.source")).alias("rrp_source"), "sizes",
         F.when(F.size("sizes") > 0, F.lit("available")).otherwise(F.lit("unknown")).alias("size_availability"),
-        F.lit("in_stock").alias("availability"), F.substring("description", 1, 500).alias("description"))
+        F.lit("in_stock").alias("availability"), "description")
     return offer_columns(with_source(first_per_key(d, ["source_id", "url"], "seq"), sources))

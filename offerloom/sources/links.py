@@ -26,7 +26,7 @@ def product_links(links: DataFrame) -> DataFrame:
     Input: page_id, page_url, pos, href, text."""
     d = tx.computed(links, {"u": ur.url_parts(c("href"))})
     words = F.lower(F.concat_ws(" ", F.coalesce(F.try_url_decode(F.regexp_replace(c("u.path"), r"\+", "%2B")), c("u.path")),
-                                F.substring(tx.squeeze(c("text")), 1, 160)))
+                                tx.squeeze(c("text"))))
     d = d.where((c("u.host") == ur.host_of(c("page_url"))) & (c("href") != c("page_url"))
                 & F.lower("u.path").rlike(fv.PRODUCT_PATH_PATTERN) & words.rlike(tx.any_of(fv.PRODUCT_LINK_WORDS))
                 & ~words.rlike(tx.any_of(fv.PRODUCT_LINK_EXCLUDED)))
@@ -39,10 +39,14 @@ def _parameters(query):
         F.regexp_extract(p, "^[^=]*", 0).alias("k"), F.regexp_extract(p, "=(.*)$", 1).alias("v")))
 
 
-def next_listing_pages(links: DataFrame) -> DataFrame:
+def next_listing_pages(links: DataFrame, last: int | None = None) -> DataFrame:
     """The explicitly linked next page of the same listing: the page number in the path
-    or in exactly one page-like parameter grows by one (at most to five) and the label says
-    so. Input: page_id, page_url, pos, href, label. One row per page that has one."""
+    or in exactly one page-like parameter grows by one (up to `last` where it is given) and the label
+    says so. Input: page_id, page_url, pos, href, label and, where known, paging: only paging
+    links count. One row per page that has one."""
+    if "paging" in links.columns:
+        links = links.where("paging")
+    in_range = lambda n: F.lit(True) if last is None else n <= last
     d = tx.computed(links, {"n": ur.url_parts(c("href")), "p": ur.url_parts(c("page_url"))})
     d = d.where((c("n.scheme") == "https") & (c("n.host") == c("p.host")))
 
@@ -58,7 +62,7 @@ def next_listing_pages(links: DataFrame) -> DataFrame:
 
     def named(n):
         return says_next | (F.trim("label") == n.cast("string"))
-    by_path = (c("np") == F.concat(base, F.lit("/"), (c("prior") + 1).cast("string"))) & (c("prior") + 1 <= fv.NEXT_PAGE_MAX) & (
+    by_path = (c("np") == F.concat(base, F.lit("/"), (c("prior") + 1).cast("string"))) & in_range(c("prior") + 1) & (
         c("n.query") == c("p.query")) & named(c("prior") + 1)
 
     def value(params, k):
@@ -70,7 +74,7 @@ def next_listing_pages(links: DataFrame) -> DataFrame:
     d = tx.computed(d, {"number": value(c("nq"), key).try_cast("int"),
                         "before": F.coalesce(value(c("pq"), key).try_cast("int"), F.lit(1))})
     by_query = ((c("np") == c("pp")) & (F.size("changed") == 1) & F.lower(key).isin(*fv.PAGE_PARAMETERS)
-                & (c("number") == c("before") + 1) & (c("number") <= fv.NEXT_PAGE_MAX) & named(c("number")))
+                & (c("number") == c("before") + 1) & in_range(c("number")) & named(c("number")))
     hit = d.where(c("by_path") | F.coalesce(by_query, F.lit(False)))
     return hit.groupBy("page_id", "page_url").agg(
         F.min_by(F.regexp_replace("href", "#.*$", ""), "pos").alias("next_url"))

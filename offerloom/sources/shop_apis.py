@@ -48,7 +48,7 @@ def shopify_to_offers(products: DataFrame, sources: DataFrame) -> DataFrame:
         F.when(rrp.isNotNull(), F.lit("shopify:compare_at_price")).alias("rrp_source"),
         F.when(c("size_map").isNotNull(), sz.size_label_map(c("sizes"), c("size_map"))).otherwise(c("sizes")).alias("sizes"),
         F.when(F.size("sizes") > 0, F.lit("available")).alias("size_availability"), F.lit("in_stock").alias("availability"),
-        F.substring(tx.clean_text(F.concat_ws(" ", p["product_type"], p["body_html"])), 1, 500).alias("description"))
+        tx.clean_text(F.concat_ws(" ", p["product_type"], p["body_html"])).alias("description"))
     return _finish(d, sources)
 
 
@@ -69,7 +69,7 @@ def woocommerce_to_offers(products: DataFrame, sources: DataFrame) -> DataFrame:
         tx.clean_text(p["name"]).alias("name"), F.lit("EUR").alias("currency"), "price", rrp.alias("rrp"),
         F.when(rrp.isNotNull(), F.lit("woocommerce:regular_price")).alias("rrp_source"),
         F.coalesce(F.filter(terms, lambda t: t != ""), F.array().cast(_NO_TEXTS)).alias("sizes"),
-        F.lit("in_stock").alias("availability"), F.substring(tx.clean_text(p["short_description"]), 1, 500).alias("description"))
+        F.lit("in_stock").alias("availability"), tx.clean_text(p["short_description"]).alias("description"))
     return _finish(d, sources)
 
 

@@ -132,3 +132,12 @@ def test_diagnose_and_groups(spark):
     df = spark.createDataFrame(rows, "s string, p long, e long, v long, r long, q long, x string")
     got = sc.diagnose(c("s"), c("p"), c("e"), c("v"), c("r"), c("q"))
     assert df.where(~got.eqNullSafe(c("x"))).collect() == []
+
+
+def test_overlapping_brands_in_a_title(spark):
+    from pyspark.sql import functions as F
+
+    from offerloom.functions import text as tx
+    df = spark.createDataFrame([("a b c",), ("x a b",), ("ab c",)], "t string")
+    got = [r[0] for r in df.select(tx.match_brand(F.lit(None).cast("string"), F.col("t"), ["b c", "a b"])).collect()]
+    assert got == ["b c", "a b", ""]

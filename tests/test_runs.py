@@ -90,7 +90,7 @@ def test_hide_events(spark):
     ev = spark.createDataFrame([("a", "A2", "hide", "2024-01-03"), ("b", "", "unhide", "2024-01-02"), ("c", "C", "hide", "2024-01-02"), ("b", "B2" * 200, "hide", "2024-01-05")],
                                "hide_key string, label string, action string, d string").withColumn("at", c("d").cast("timestamp"))
     got = {r["hide_key"]: (r["label"], r["hidden_at"].day) for r in sk.apply_hide_events(hidden, ev).collect()}
-    assert got["a"] == ("A2", 1) and got["c"] == ("C", 2) and got["b"][1] == 5 and len(got["b"][0]) == 200
+    assert got["a"] == ("A2", 1) and got["c"] == ("C", 2) and got["b"][1] == 5 and len(got["b"][0]) == 400
 
 
 def test_history_of_last_runs(spark):

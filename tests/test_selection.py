@@ -152,3 +152,10 @@ def test_merge_detail(spark):
     got = {r["url"]: r for r in jo.merge_detail(offers, v).collect()}
     assert (got["u1"]["sizes"], got["u1"]["rrp"], got["u1"]["rrp_source"]) == (["L"], 90.0, "detail:offer.listPrice")
     assert got["u2"]["availability"] == "out_of_stock" and got["u3"]["sizes"] == []
+
+
+def test_brands_of_many_words_match(spark):
+    from offerloom.operators.joins import match_brand_join
+    offers = spark.createDataFrame([(None, "the very long brand name of five trousers", "u")], "brand string, name string, url string")
+    brands = spark.createDataFrame([("Very Long Brand Name Of Five", 0)], "brand string, ord int")
+    assert match_brand_join(offers, brands).first().matched_brand == "Very Long Brand Name Of Five"

@@ -92,7 +92,9 @@ def test_json_feed_roots_and_cap(spark):
     df = spark.createDataFrame([("s1", i, b) for i, b in enumerate(bodies)], "source_id string, seq long, body string")
     r = feeds.read_json_feed(df, sources(spark)).orderBy("seq").collect()
     assert [(x["url"][-1], x["price"], x["rrp"], x["rrp_source"]) for x in r] == [("1", 59.9, 99.0, None), ("2", 59.9, 99.0, None), ("3", 59.9, 99.0, None)]
-    assert feeds.read_json_feed(df, sources(spark), limit=2).count() == 2
+    # a limit, where one is asked for, counts inside each document
+    two = spark.createDataFrame([("s1", i, "[" + ",".join(row % ("url", 10 * i + k) for k in range(3)) + "]") for i in range(2)], df.schema)
+    assert feeds.read_json_feed(two, sources(spark), limit=2).count() == 4 and feeds.read_json_feed(two, sources(spark)).count() == 6
 
 
 def test_posts(spark, tmp_path):
@@ -121,7 +123,7 @@ def test_next_page(spark):
             (3, "https://a.example/l/", "https://b.example/l/2/", "next", 0), (4, "https://a.example/l/", "https://a.example/m/2/", "next", 0),
             (5, "https://a.example/l/5/", "https://a.example/l/6/", "next", 0), (6, "https://a.example/l/?p=2&c=1", "https://a.example/l/?p=3&c=2", "next", 0)]
     df = spark.createDataFrame(rows, "page_id long, page_url string, href string, label string, pos int")
-    assert sorted(values(links.next_listing_pages(df), "page_id", "next_url")) == [(1, "https://a.example/l/2/"), (2, "https://a.example/l/?p=2")]
+    assert sorted(values(links.next_listing_pages(df, last=5), "page_id", "next_url")) == [(1, "https://a.example/l/2/"), (2, "https://a.example/l/?p=2")]
 
 
 def test_claims(spark):
@@ -151,3 +153,27 @@ def test_sql_functions(spark):
     register_functions(spark)
     assert spark.sql("SELECT absolute_url('https://a.example/x/', concat('../', y)) FROM VALUES ('b') AS t(y)").first()[0] == "https://a.example/b"
     assert spark.sql("SELECT size(page_cards(h, 's')) FROM VALUES ('<article><a href=x>y</a></article>') AS t(h)").first()[0] == 1
+
+
+def test_link_rows_grow_with_the_page():
+    from offerloom.sources.page_parts import link_rows
+    sizes = []
+    for n in (400, 800, 1600):
+        page = "<div class='products'>" + "".join(f"<a href='/p/{i}'>Hose {i} 99,95 €</a>" for i in range(n)) + "</div>"
+        sizes.append(sum(len(str(r)) for r in link_rows(page)))
+    assert sizes[2] < 4.4 * sizes[0]
+
+
+def test_deep_json_costs_one_page_only():
+    import json  # noqa: F401
+
+    from offerloom.sources.page_parts import state_array, variant_rows
+    deep = "[" * 100_000 + "]" * 100_000
+    assert list(variant_rows([deep])) == [] and state_array("window.state = " + deep, "window.state") is None
+
+
+def test_the_link_around_the_name_wins():
+    from offerloom.sources.page_parts import card_rows
+    page = ("<article><a href='/wishlist'>x</a><a href='/p/1'><div data-e2e-test='product-card-info-name-section'>Name</div></a>"
+            "<span class='price'>9,95 €</span></article>")
+    assert [r[1] for r in card_rows(page)] == ["/p/1"]
