@@ -36,6 +36,11 @@ class Published:
     sources: DataFrame | None = None
 
 
+def _screened(spark: SparkSession, root: str, run_date) -> DataFrame:
+    """The stored rows of a run. Rows without a source only mark batches that sent nothing."""
+    return stored(spark, f"{root}/screened", run_date).where(c("source_id").isNotNull())
+
+
 def run_batch(raw: DataFrame, crawl: DataFrame, root: str, run_date, snapshots: DataFrame | None = None,
               source_brands: DataFrame | None = None, policies: DataFrame | None = None,
               rates: DataFrame | None = None, now=None, profile: Profile = DEFAULT) -> DataFrame:
@@ -56,13 +61,11 @@ def run_batch(raw: DataFrame, crawl: DataFrame, root: str, run_date, snapshots:
     if policies is not None:
         raw = jo.apply_shipping(raw, policies)
     screened = jo.lookup_join(no.screen_offers(raw.drop("batch"), profile, rates), batch_of, "source_id", "url")
-    sk.write_batch(screened.withColumnRenamed("_batch", "batch"), f"{root}/screened", run_date)
     touched = crawl.select("batch").distinct()
-    # A batch whose sources sent nothing replaces its stored rows, too (one row per batch here).
+    # A batch whose sources sent nothing replaces its stored rows, too: with a row without a source
     silent = touched.join(jo.semi_by_key(crawl, sent, ["source_id"]).select("batch").distinct(), "batch", "left_anti")
-    for row in silent.collect():
-        sk.replace_one(screened.drop("_batch").limit(0), f"{root}/screened", run_date=run_date, batch=row["batch"])
-    rows = stored(spark, f"{root}/screened", run_date)
+    sk.write_batch(jo.union_all(screened.withColumnRenamed("_batch", "batch"), silent), f"{root}/screened", run_date)
+    rows = _screened(spark, root, run_date)
     coverage = ag.source_coverage(rows.join(touched, "batch", "left_semi"), crawl, profile.min_discount)
     sk.write_batch(coverage, f"{root}/coverage", run_date)
     return stored(spark, f"{root}/coverage", run_date)
@@ -83,7 +86,10 @@ def finalize_run(spark: SparkSession, root: str, run_date, expected: DataFrame,
     missing = jo.missing_batches(expected, done)
     if not missing.isEmpty():
         return Published(False, missing)
-    normalized, kept, ranked = _selection(stored(spark, f"{root}/screened", run_date), hidden, profile)
+    saved = _saved(spark, root, run_date, snapshot_at)
+    if saved is not None:
+        return Published(True, missing, *saved)
+    normalized, kept, ranked = _selection(_screened(spark, root, run_date), hidden, profile)
     sk.write_run({"ranked": ranked}, root, run_date)
     ranked = stored(spark, f"{root}/ranked", run_date)
     report = ag.run_report(coverage, normalized, kept, ranked, profile.near_min, profile.near_limit)
@@ -91,15 +97,34 @@ def finalize_run(spark: SparkSession, root: str, run_date, expected: DataFrame,
     previous = _previous(spark, root, run_date, snapshot_at)
     report = report.withColumn("baseline_date", F.lit(previous).cast("date"))
     sk.write_run({"report": report, "deals": rk.deals_of(ranked), "near": rk.near_of(ranked, profile)}, root, run_date)
-    report = stored(spark, f"{root}/report", run_date)
-    metrics = ag.run_metrics(report, coverage)
-    sources = coverage
+    return Published(True, missing, *_results(spark, root, run_date, previous))
+
+
+def _results(spark, root, run_date, previous):
+    """What a stored run publishes: report, metrics, deals, near misses, sources."""
+    coverage, report = stored(spark, f"{root}/coverage", run_date), stored(spark, f"{root}/report", run_date)
+    metrics, sources = ag.run_metrics(report, coverage), coverage
     if previous is not None and str(previous) != str(run_date):
-        old_cov = stored(spark, f"{root}/coverage", previous)
-        metrics = hi.compare_runs(metrics, ag.run_metrics(stored(spark, f"{root}/report", previous), old_cov))
-        sources = hi.compare_sources(coverage, old_cov)
-    return Published(True, missing, report, metrics, stored(spark, f"{root}/deals", run_date),
-                     stored(spark, f"{root}/near", run_date), sources)
+        old = stored(spark, f"{root}/coverage", previous)
+        metrics = hi.compare_runs(metrics, ag.run_metrics(stored(spark, f"{root}/report", previous), old)).withColumn(
+            "baseline_kind", hi.comparison_kind(F.lit(str(run_date)), F.lit(str(previous))))
+        sources = hi.compare_sources(coverage, old)
+    return report, metrics, stored(spark, f"{root}/deals", run_date), stored(spark, f"{root}/near", run_date), sources
+
+
+def _saved(spark, root, run_date, snapshot_at):
+    """The published results of a run date whose batches have not changed since: a run that is
+    finalized again for the same snapshot is not computed and not written again."""
+    if snapshot_at is None:
+        return None
+    try:
+        report = stored(spark, f"{root}/report", run_date)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    row = report.where(c("batch_snapshot_at") == F.lit(snapshot_at).cast("timestamp")).select("baseline_date").first()
+    return _results(spark, root, run_date, row["baseline_date"]) if row else None
 
 
 def _previous(spark, root, run_date, snapshot_at):
@@ -125,7 +150,7 @@ def replay_latest(spark: SparkSession, root: str, batches: int, hidden: DataFram
         return None
     day = day["run_date"]
     cov = stored(spark, f"{root}/coverage", day)
-    normalized, kept, ranked = _selection(stored(spark, f"{root}/screened", day), hidden, profile)
+    normalized, kept, ranked = _selection(_screened(spark, root, day), hidden, profile)
     report = ag.run_report(cov, normalized, kept, ranked, profile.near_min, profile.near_limit).withColumn(
         "run_date", F.lit(day))
     return Published(True, cov.limit(0), report, ag.run_metrics(report, cov), rk.deals_of(ranked),

@@ -41,7 +41,10 @@ def test_run_twice_changes_nothing_and_publishes(spark, tmp_path):
     metrics, deals_now = sorted(values(two.metrics, "metric", "delta"), key=str), two.deals.count()
     delta = dict(metrics)
     assert delta["qualified_deals"] == deals_now - 12 and delta["raw_offers"] == 0 and delta["browserRecoveredSources"] == 0
+    assert values(two.metrics.select("baseline_kind").distinct(), "baseline_kind") == [("previous-day",)]
+    before = _files(f"{root}/deals")
     retry = runs.finalize_run(spark, root, DAY2, expected, snapshot_at="2024-01-03 09:00:00")
+    assert _files(f"{root}/deals") == before  # the same snapshot is not written again
     assert sorted(values(retry.metrics, "metric", "delta"), key=str) == metrics
     deals, near = runs.current_view(spark, root)
     got = values(deals, "observations", "first_price", "last_price")
