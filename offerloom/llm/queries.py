@@ -3,9 +3,10 @@ from pyspark.sql import functions as F
 
 from ..storage import ship
 from . import extraction, fingerprints, mixing, packing, privacy, quality, rules, secrets, simhash, suffixes
+from .oracles import OP2, OP9
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {"op2_suffix_array_dedup": OP2, "op9_source_mixing": OP9}
 
 
 def _query(fn):

@@ -62,3 +62,15 @@ def test_registered():
     assert [n for n, _ in cp.STAGES] and "pipeline" in e.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in e.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
     assert simhash.BITS == 3 and packing.SIZE == 2048
+
+
+def test_queries_equal_their_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as e
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name in ("op2_suffix_array_dedup", "op9_source_mixing"):
+        want = con.execute(e.oracle_sql()[name]).df()
+        got = e.queries()[name](spark, SF).toPandas()[list(want.columns)]
+        assert sorted(map(str, got.to_numpy().tolist())) == sorted(map(str, want.to_numpy().tolist()))
