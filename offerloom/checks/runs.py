@@ -221,7 +221,8 @@ def feed_stream(spark, d):
 def select_deals_stream(spark, d):
     path = sk.work_folder(spark, "deals-stream")
     raw = raw_offers(spark, d)
-    raw.write.parquet(f"{path}/raw")
-    stream = no.normalize_offers(spark.readStream.schema(raw.schema).parquet(f"{path}/raw"), rates=fx_rates(spark, d))
-    ob.select_deals_stream(stream, f"{path}/ranked", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/ranked").where("qualifies").select("offer_key", "model_key", "score")
+    raw.repartition(4, *SEQ).write.parquet(f"{path}/raw")
+    files = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/raw")
+    stream = no.normalize_offers(files, rates=fx_rates(spark, d))
+    ob.select_deals_stream(stream, f"{path}/best", f"{path}/checkpoint").awaitTermination()
+    return ob.stream_models(spark.read.parquet(f"{path}/best")).where("qualifies").select("offer_key", "model_key", "score")

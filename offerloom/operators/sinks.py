@@ -56,12 +56,13 @@ def upsert(df: DataFrame, path: str, partitions, keys) -> None:
     replace_partitions(spark.read.parquet(staged), path, partitions)
 
 
-def write_snapshots(df: DataFrame, path: str) -> None:
+def write_snapshots(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """K3: replace the snapshot of each (source, date); sources share hash buckets, so the
-    number of folders does not grow with the number of sources."""
+    number of folders does not grow with the number of sources. A table keeps the number of
+    buckets that it was first written with."""
     keyed = df.withColumns({
         "collected_date": F.to_date("collected_at"),
-        "bucket": F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)).cast("int")})
+        "bucket": F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int")})
     upsert(keyed, path, ["collected_date", "bucket"], ["collected_date", "bucket", "source_id"])
 
 

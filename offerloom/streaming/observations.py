@@ -77,12 +77,13 @@ def price_drop_alerts(moves: DataFrame) -> DataFrame:
     return moves.where((c("observations") > 1) & (c("last_price") < c("first_price")))
 
 
-def write_versions(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
-    """T5: each micro-batch replaces its own partition of the table (K1 keyed by batch id)."""
+def write_versions(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", trigger: dict | None = None):
+    """T5: each micro-batch replaces its own partition of the table (K1 keyed by batch id).
+    `trigger` holds the arguments of the stream's trigger."""
     def save(batch: DataFrame, batch_id: int):
         sk.replace_partitions(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"])
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-            .foreachBatch(save).trigger(availableNow=True).start())
+            .foreachBatch(save).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def newest_versions(table: DataFrame, keys) -> DataFrame:
@@ -99,14 +100,24 @@ def current_state(versions: DataFrame, keys, now, ttl_hours: int = fv.SNAPSHOT_M
     return alive.groupBy(*keys).agg(F.max_by(F.struct(*rest), ts).alias("r")).select(*keys, "r.*")
 
 
-def select_deals_stream(offers: DataFrame, path: str, checkpoint: str, profile=None):
-    """L1 on a stream: ranking is not defined over an endless input, so every micro-batch of
-    normalized offers is ranked and stored under its batch id."""
-    from ..operators.ranking import rank_models
-    from ..settings import DEFAULT
-    minimum = (profile or DEFAULT).min_discount
+def select_deals_stream(offers: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """L1 on a stream: the best row of every offer of a micro-batch is stored under its batch id;
+    `stream_models` ranks what all batches left, so the result does not depend on how the input
+    was cut. `trigger` holds the arguments of the stream's trigger."""
+    from ..operators.ranking import best_per_offer
 
     def save(batch: DataFrame, batch_id: int):
-        ranked = rank_models(batch, minimum)
-        sk.replace_partitions(ranked.withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"])
-    return offers.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+        sk.replace_partitions(best_per_offer(batch).withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"])
+    return (offers.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def stream_models(table: DataFrame, profile=None) -> DataFrame:
+    """Ranked models of a table written by `select_deals_stream`: the best of the batches' best
+    rows per offer, with the offer's first row over all batches, then one row per model."""
+    from ..operators.ranking import best_per_model, best_per_offer
+    from ..settings import DEFAULT
+    rows = table.drop("batch_id")
+    first = rows.groupBy("offer_key").agg(F.min("first_seq").alias("first_seq"))
+    best = best_per_offer(rows.drop("first_seq")).drop("first_seq").join(first, "offer_key")
+    return best_per_model(best, (profile or DEFAULT).min_discount)
