@@ -3,9 +3,11 @@
 A word discloses a protected entity (an address, a number) as far as seeing the word makes the
 entity likely. Over the whole corpus, N documents are counted, those with the entity, with the
 word, and with the word close to the entity; the pointwise mutual information of the two is at
-most the entity's information content, log2(N / documents with it). A word whose information
-comes within a threshold of that is generalised, one that practically names the entity is
-removed, in the documents that hold both."""
+most the entity's information content, log2(N / documents with it). The probability of the
+entity given the word is smoothed by a part of a document in which the entity is as likely as
+anywhere, so an entity of one text is measured too, and few documents prove less than many. A
+word whose information comes within a threshold of the content is generalised, one that
+practically names the entity is removed, in the documents that hold both."""
 from __future__ import annotations
 
 import re
@@ -28,13 +30,13 @@ KINDS = ["email", "ip", "card", "phone", "general", "removed"]
 
 #: Words on either side of an entity that count as its context.
 NEAR = 8
-#: Different texts in which word and entity must meet.
-LEAST_TEXTS = 3
+#: Documents added to those with a word, the entity in them as likely as in all documents.
+PRIOR = 0.5
 #: Shares of the entity's information content from which a word is generalised and removed.
 GENERALISE, REMOVE = 0.9, 0.99
 _WORD = re.compile(r"\w+")
 _REACH = 400
-_SLOTS = 1 << 20
+_SLOTS = 1 << 23
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
 _NEAR = "array<struct<entity:bigint,term:string,places:array<struct<start:int,end:int>>>>"
 
@@ -127,38 +129,55 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, h long, base {_SPAN}, near {_NEAR}")
 
 
+def _slots(rows: DataFrame, key: Column) -> bytes:
+    """One bit per slot of a 64-bit hash, set where `rows` has a key; of fixed size."""
+    slot = F.pmod(key, F.lit(_SLOTS))
+    parts = rows.select(F.shiftright(slot, 15).alias("part"), F.pmod(slot, F.lit(1 << 15)).alias("at")).groupBy("part").agg(
+        F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = bytearray(_SLOTS // 8)
+    for r in parts:
+        out[r["part"] << 12:(r["part"] + 1) << 12] = r["bits"]
+    return bytes(out)
+
+
+def _marked(packed: bytes, key: int) -> bool:
+    key %= _SLOTS
+    return bool(packed[key >> 3] >> (key & 7) & 1)
+
+
 def _documents_with(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """(term, n_term): documents that hold each of `terms` (term). A bit per slot of the terms'
     hashes, of fixed number, tells tasks which words to count; the join drops what only shares a slot."""
-    bits = np.zeros(_SLOTS, bool)
-    bits[[r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(_SLOTS)).cast("int")).distinct().collect()]] = True
-    packed = np.packbits(bits)
+    packed = _slots(terms, F.xxhash64("term"))
 
     def run(batches):
-        marked = np.unpackbits(packed).astype(bool)
         known: dict[str, bool] = {}
+        count: dict[str, int] = {}
+
+        def counted():
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
         for b in batches:
-            count: dict[str, int] = {}
             for t in b.column(0):
-                for w in set(_WORD.findall(t.as_py().lower())):
+                for w in {w.lower() for w in set(_WORD.findall(t.as_py()))}:
                     hit = known.get(w)
                     if hit is None:
                         if len(known) > 200_000:
                             known.clear()
-                        hit = known[w] = bool(marked[xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) % _SLOTS])
+                        hit = known[w] = _marked(packed, _hash(w))
                     if hit:
                         count[w] = count.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+                if len(count) > 200_000:
+                    yield counted()
+                    count = {}
+        yield counted()
     counts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term string, n long")
     return counts.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms, "term")
 
 
 def disclosing(docs: DataFrame, scan: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, ord) of the words that disclose an entity, from the counts of all documents."""
-    near = scan.select("h", F.inline("near")).select("entity", "term", "h")
-    meet = near.groupBy("entity", "term", "h").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(
-        F.sum("n").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
-    meet = stored(meet, "meet")
+    near = scan.select(F.inline("near")).select("entity", "term")
+    meet = stored(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "meet")
     schema = "entity long, term string, ord int"
     if not meet.limit(1).count():
         return docs.sparkSession.createDataFrame([], schema)
@@ -167,7 +186,8 @@ def disclosing(docs: DataFrame, scan: DataFrame, text_col: str = "text") -> Data
     n_term = _documents_with(docs, meet.select("term").distinct(), text_col)
     total = F.lit(scan.count())
     content = F.log2(total / F.col("n_entity"))
-    share = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / content
+    usual = F.col("n_entity") / total
+    share = F.log2((F.col("n_both") + PRIOR * usual) / (F.col("n_term") + PRIOR) / usual) / content
     rows = meet.join(n_entity, "entity").join(n_term, "term").where(content > 0).withColumn("share", share)
     return rows.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, 5).otherwise(4).alias("ord"))
 

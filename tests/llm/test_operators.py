@@ -246,6 +246,19 @@ def test_disclosing_words(spark):
     assert "[EMAIL]" in masked[101] and "keeper" not in masked[101] and masked[200] == text[200]
 
 
+def test_words_beside_an_entity_of_one_text(spark):
+    filler = "the common words of the corpus come again and again in every text of it"
+    docs = [(i, f"{filler} number{i} text") for i in range(200)]
+    docs += [(300, f"{filler} please write to quillon keeper jo{'x'}@mail.example.com and the common words")]
+    docs += [(301 + i, f"{filler} please write to keeper {i}") for i in range(9)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r["all"] for r in privacy.find(df).collect()}
+    assert {docs[200][1][s.start:s.end]: s.ord for s in got[300] if s.ord >= 4} == {"quillon": 4}
+    share = 1 + np.log2((1 + privacy.PRIOR / 210) / (1 + privacy.PRIOR)) / np.log2(210)
+    assert privacy.GENERALISE <= share < privacy.REMOVE
+    assert not any(got[i] for i, _ in docs if i != 300)
+
+
 def test_personal_data_edge(edge):
     p = privacy.digest(privacy.find(edge)).toPandas()
     assert len(p) == edge.count()
