@@ -7,10 +7,11 @@ most the entity's information content, log2(N / documents with it). The probabil
 entity given the word is smoothed by a part of a document in which the entity is as likely as
 anywhere, so an entity of one text is measured too, and few documents prove less than many. A
 word whose information comes within a threshold of the content is generalised, one that
-practically names the entity is removed, in the documents that hold both."""
+practically names the entity is removed, at all its places in the documents that hold both."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 KINDS = ["email", "ip", "card", "phone", "general", "removed"]
 
-#: Words on either side of an entity that count as its context.
+#: Words on either side of an entity that count as its context in the estimate.
 NEAR = 8
 #: Documents added to those with a word, the entity in them as likely as in all documents.
 PRIOR = 0.5
 #: Shares of the entity's information content from which a word is generalised and removed.
 GENERALISE, REMOVE = 0.9, 0.99
 _WORD = re.compile(r"\w+")
-_REACH = 400
 _SLOTS = 1 << 23
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
-_NEAR = "array<struct<entity:bigint,term:string,places:array<struct<start:int,end:int>>>>"
+_NEAR = "array<struct<entity:bigint,term:string>>"
+_PLACES = "array<struct<start:int,end:int>>"
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -86,24 +87,36 @@ def _hash(s: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), 42)).view(np.int64))
 
 
+def _entities(text: str, spans) -> list[int]:
+    """The hash of every span's entity."""
+    values = (text[s:e].lower() if kind == 0 else text[s:e] if kind == 1 else _digits(text[s:e]) for s, kind, e in spans)
+    return [_hash(f"{KINDS[kind]}:{value}") for (_, kind, _), value in zip(spans, values)]
+
+
+def _words(text: str, spans) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it counts) of the whole words of a text. Words inside a base span or of
+    one or two characters don't count."""
+    out, k, reach = [], 0, 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:
+            reach = max(reach, spans[k][2])
+            k += 1
+        out.append((a, b, b - a > 2 and reach <= a))
+    return out
+
+
 def contexts(text: str, spans) -> list[dict]:
-    """Per entity and word near it, the word's places. Words inside a base span don't count."""
-    taken = [(s, e) for s, _, e in spans]
-    found: dict = {}
-    for s, kind, e in spans:
-        value = text[s:e].lower() if kind == 0 else text[s:e] if kind == 1 else _digits(text[s:e])
-        entity = _hash(f"{KINDS[kind]}:{value}")
-        left = list(_WORD.finditer(text, max(0, s - _REACH), s))[-NEAR:]
-        right = []
-        for m in _WORD.finditer(text, e, e + _REACH):
-            right.append(m)
-            if len(right) == NEAR:
-                break
-        for m in left + right:
-            a, b = m.span()
-            if b - a > 2 and not any(x < b and a < y for x, y in taken):
-                found.setdefault((entity, m[0].lower()), set()).add((a, b))
-    return [{"entity": k[0], "term": k[1], "places": [{"start": a, "end": b} for a, b in sorted(v)]} for k, v in sorted(found.items())]
+    """(entity, term) of the words near the entities, once each."""
+    words = _words(text, spans)
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    found = set()
+    for (s, _, e), entity in zip(spans, _entities(text, spans)):
+        left, right = bisect_right(ends, s), bisect_left(starts, e)
+        for a, b, counts in words[max(0, left - NEAR):left] + words[right:right + NEAR]:
+            if counts:
+                found.add((entity, text[a:b].lower()))
+    return [{"entity": k, "term": t} for k, t in sorted(found)]
 
 
 def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -114,8 +127,7 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h, base, near): base spans and contexts of every row."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("ord", pa.int32()), ("end", pa.int32())]))
-    place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("places", place)]))
+    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string())]))
 
     def run(batches):
         for b in batches:
@@ -192,18 +204,49 @@ def disclosing(docs: DataFrame, scan: DataFrame, text_col: str = "text") -> Data
     return rows.where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, 5).otherwise(4).alias("ord"))
 
 
+def placed(docs: DataFrame, told: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, h, entity, term, places): all places of the disclosing words `told` in the documents
+    that hold the entity. Slot bits, of the words and of the pairs, tell tasks which rows to make;
+    what only shares a slot goes with the join on `told`."""
+    terms = _slots(told, F.xxhash64("term"))
+    pairs = _slots(told, F.xxhash64("term").bitwiseXOR(F.col("entity")))
+    place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("entity", pa.int64()), ("term", pa.string()), ("places", place)])
+
+    def run(batches):
+        for b in batches:
+            for i, t in enumerate(b.column(1)):
+                t = t.as_py()
+                spans = base_spans(t)
+                if not spans:
+                    continue
+                at: dict[str, list] = {}
+                for x, y, counts in _words(t, spans):
+                    if counts:
+                        at.setdefault(t[x:y].lower(), []).append({"start": x, "end": y})
+                hashes = {w: k for w in at if _marked(terms, k := _hash(w))}
+                hits = [(e, w) for e in set(_entities(t, spans)) for w, k in hashes.items() if _marked(pairs, k ^ e)]
+                for k in range(0, len(hits), 10_000):
+                    part = hits[k:k + 10_000]
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": [b.column(0)[i].as_py()] * len(part), "h": [b.column(2)[i].as_py()] * len(part), "entity": [e for e, _ in part],
+                        "term": [w for _, w in part], "places": [at[w] for _, w in part]}, schema)
+    out = _text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, h long, entity long, term string, places {_PLACES}")
+    return out.join(told, ["entity", "term"])
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, h (hash of the text), base and all: arrays of (start, ord of
     KINDS, end), in code points, end exclusive, sorted. Null texts are empty; equal rows get equal
     spans and are returned each; an empty table gives no rows. Base spans always stay; words are
-    added only beside an entity."""
+    added only in documents that hold an entity they disclose."""
     scan = stored(scanned(docs, id_col, text_col), "privacy")
     told = stored(disclosing(docs, scan, text_col), "disclosing")
-    near = scan.select("doc_id", "h", F.inline("near")).join(told, ["entity", "term"])
+    near = placed(docs, told, id_col, text_col)
     span = F.transform("places", lambda p: F.struct(p["start"].alias("start"), F.col("ord").alias("ord"), p["end"].alias("end")))
     more = near.select("doc_id", "h", F.explode(span).alias("s")).groupBy("doc_id", "h").agg(F.collect_set("s").cast(_SPAN).alias("words"))
     more = more.withColumnsRenamed({"doc_id": "i", "h": "j"})
-    # a word may stand near two entities; the stronger measure holds
+    # a word may disclose two entities; the stronger measure holds
     words = F.filter("words", lambda s: ~F.exists("words", lambda o: (o["start"] == s["start"]) & (o["ord"] > s["ord"])))
     joined = scan.join(more, F.expr("doc_id <=> i and h = j"), "left")
     return joined.select("doc_id", "h", "base", F.when(F.col("words").isNull(), F.col("base")).otherwise(

@@ -259,6 +259,21 @@ def test_words_beside_an_entity_of_one_text(spark):
     assert not any(got[i] for i, _ in docs if i != 300)
 
 
+def test_disclosing_words_go_wherever_they_stand(spark):
+    filler = "the common words of the corpus come again and again in every text of it"
+    mail, long = f"jo{'x'}@mail.example.com", "q" * 900
+    docs = [(i, f"{filler} number{i} text") for i in range(200)]
+    docs += [(300, f"Quillon first. {filler}. {filler}. {long} quillon {mail} {filler} {filler}. quillon again, {long}"), (301, f"{mail} {filler}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r["all"] for r in privacy.find(df).collect()}
+    text = docs[200][1]
+    spans = [(s.start, s.end) for s in got[300] if s.ord >= 4]
+    assert spans == [m.span() for m in re.finditer(rf"quillon|{long}", text, re.I)] and len(spans) == 5
+    assert len(got[301]) == 1
+    masked = privacy.sanitised(df).where("doc_id = 300").first().text.lower()
+    assert "quillon" not in masked and "q" not in masked.replace("[", "").replace("]", "")
+
+
 def test_personal_data_edge(edge):
     p = privacy.digest(privacy.find(edge)).toPandas()
     assert len(p) == edge.count()
