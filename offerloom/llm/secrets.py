@@ -1,10 +1,11 @@
 """Secrets in texts, in DataFrame functions only.
 
-Base patterns find assignments, access keys and hex runs. Beside them, long tokens are judged by
+Base patterns find assignments, access keys and hex runs. Beside them, tokens of the shortest
+secret's length and more are judged by
 two character Markov models, one of random strings and one of ordinary identifiers: the log
 likelihood ratio of a token's transitions says which explains it better. The models are counts of
-character pairs in labelled samples: encoded digests for random strings, and the tokens of a
-bounded sample of documents outside base matches for ordinary ones."""
+character pairs: of encoded digests for random strings, and of the tokens of all documents
+outside base matches for ordinary ones."""
 from __future__ import annotations
 
 import math
@@ -21,21 +22,23 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Tokens that the models judge.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Tokens that the models judge: as long as the shortest secret of the base patterns.
+TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{ASSIGN_LEAST},}}"
 _ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 #: A token is a secret at this log likelihood ratio (nats) in all and per transition.
 RATIO, RATIO_EACH = 20.0, 0.7
-#: Documents the model of ordinary identifiers is counted on at most, and random strings made.
-SAMPLE_DOCS, SAMPLE_RANDOM = 2_000, 4_096
+#: Random strings made.
+SAMPLE_RANDOM = 4_096
 KINDS = ["assign", "access", "hex", "random"]
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
 def _pairs(strings: DataFrame) -> dict:
-    """Counts of character pairs of a string column `s`: at most one row per pair of the alphabet."""
+    """Counts of character pairs of a string column `s`: at most one row per pair of the alphabet.
+    Equal strings are counted first and taken apart once."""
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.char_length("s") - 1), lambda i: F.substr("s", i, F.lit(2)))).alias("pair")
-    return {r["pair"]: r["n"] for r in strings.where(F.char_length("s") > 1).select(pair).groupBy("pair").agg(F.count("*").alias("n")).collect()}
+    return {r["pair"]: r["n"] for r in strings.where(F.char_length("s") > 1).groupBy("s").agg(F.count("*").alias("n")).select(
+        pair, "n").groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
 def _logs(counts: dict) -> dict:
@@ -47,12 +50,9 @@ def _logs(counts: dict) -> dict:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
-          sample_random: int = SAMPLE_RANDOM) -> list[float]:
-    """Log likelihood ratios of all pairs of ALPHABET, row by row. The sample is of the documents with
-    the smallest hashes of their ids; its bound is a parameter."""
-    ids = docs.select(F.col(id_col).alias("pick")).where("pick is not null").distinct().orderBy(F.xxhash64("pick"), "pick").limit(sample_docs)
-    texts = docs.select(F.col(id_col).alias("pick"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "pick", "left_semi")
+def train(docs: DataFrame, text_col: str = "text", sample_random: int = SAMPLE_RANDOM) -> list[float]:
+    """Log likelihood ratios of all pairs of ALPHABET, row by row."""
+    texts = docs.select(F.col(text_col).cast("string").alias("t"))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = _pairs(texts.select(F.explode(F.regexp_extract_all(plain, F.lit(_ORDINARY), 0)).alias("s")))
     digest = docs.sparkSession.range(sample_random).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))
@@ -100,7 +100,7 @@ def find(docs: DataFrame, ratios: list[float] | None = None, id_col: str = "doc_
     """Per row of `docs`: doc_id, base and all (arrays of start, ord of KINDS, end; code points, end
     exclusive, sorted). Tokens that touch a base span are left to it. Null texts are empty;
     repeated rows are returned each; an empty table gives no rows."""
-    ratios = train(docs, id_col, text_col) if ratios is None else ratios
+    ratios = train(docs, text_col) if ratios is None else ratios
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     none = F.array().cast(_SPAN)
 

@@ -317,6 +317,34 @@ def test_random_strings_by_likelihood(spark, some):
     assert all((s.start, s.end) == (7, 7 + len(keys[i])) for i in range(len(keys)) for s in got[i])
 
 
+def test_short_random_strings_and_counts_of_all_documents(spark, some):
+    import base64
+    ratios = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    keys = [k for i in range(80) for n in (12, 16, 18) if not set("+/") & set(k := base64.b64encode(hashlib.sha512(str(i).encode()).digest()).decode()[:n])]
+    plain = sorted({w for r in some.select("text").collect() for w in re.findall(r"[A-Za-z]{12,19}", r.text or "") if w[1:].islower()})
+    df = spark.createDataFrame([(i, f"a word {k} then more") for i, k in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r.doc_id: any(s.ord == 3 for s in r["all"]) for r in secrets.find(df, ratios).collect()}
+    assert np.mean([got[i] for i in range(len(keys))]) > 0.85
+    assert plain and not any(got[len(keys) + i] for i in range(len(plain)))
+    # a style of names that only documents beyond any sample use
+    docs = spark.range(5000).selectExpr("id doc_id", "concat('plain words here ', if(id % 5 = 0, concat('Xq-Zj_Wk', id % 7), 'ordinary')) text")
+    want = Counter()
+    for i in range(5000):
+        for w in ("plain words here ordinary" if i % 5 else f"plain words here Xq-Zj_Wk{i % 7}").split():
+            want.update(w[k:k + 2] for k in range(len(w) - 1) if len(w) >= 6)
+    logs, random = secrets._logs(want), secrets._logs(secrets._pairs(_digests(spark)))
+    assert secrets.train(docs) == [round(random[a + b] - logs[a + b], 4) for a in secrets.ALPHABET for b in secrets.ALPHABET]
+
+
+def _digests(spark):
+    import base64
+    made = []
+    for i in range(secrets.SAMPLE_RANDOM):
+        d = hashlib.sha256(str(i).encode()).hexdigest()
+        made += [(d,), (base64.b64encode(bytes.fromhex(d)).decode(),), (base64.urlsafe_b64encode(hashlib.sha256(f"{d}/".encode()).digest()).decode(),)]
+    return spark.createDataFrame(made, "s string")
+
+
 def test_secrets_edge(edge):
     p = secrets.digest(secrets.find(edge)).toPandas()
     r = p[p.doc_id == 11].iloc[0]
