@@ -412,19 +412,26 @@ def next_listing_pages(spark, d):
     return links.next_listing_pages(rows).select("page_id", "next_url")
 
 
+def _extractions(spark, d):
+    return base(spark, d, page_url="regexp_extract(url, '^(https://[^/]+)', 1) || '/o/' || CAST(l_orderkey AS STRING)",
+                text=f"brand || ' ' || name || ' jetzt ' || {de('pc')} || ' € statt ' || {de('rc')} || ' €'", p=de("pc"), r=de("rc"))
+
+
 @query("validate_extractions", f"""{BASE} SELECT {_IDS}, url, name, brand, pc / 100.0::DOUBLE AS price, CASE WHEN rc > pc AND l_linenumber <> 4 THEN rc / 100.0::DOUBLE END AS rrp
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, url ORDER BY {_IDS}) AS rn, count(*) OVER (PARTITION BY l_orderkey, url) AS n FROM base)
   WHERE n = 1 AND l_linenumber NOT IN (2, 3, 5)""")
 def validate_extractions(spark, d):
     """Line 2 claims another amount, line 3 an address of another host, line 5 quotes the price
     without a label although the card names two amounts, line 4 a reference without label."""
-    b = base(spark, d, page_url="regexp_extract(url, '^(https://[^/]+)', 1) || '/o/' || CAST(l_orderkey AS STRING)",
-             text=f"brand || ' ' || name || ' jetzt ' || {de('pc')} || ' € statt ' || {de('rc')} || ' €'", p=de("pc"), r=de("rc"))
+    b = _extractions(spark, d)
     once = b.groupBy("page_url", "url").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
-    b = b.join(once, ["page_url", "url"], "left_semi").withColumn("url", F.when(
-        c("l_linenumber") == 3, F.regexp_replace("url", "shop", "other")).otherwise(c("url")))
+    return _validated(spark, d, b.join(once, ["page_url", "url"], "left_semi"))
+
+
+def _validated(spark, d, b):
+    b = b.withColumn("url", F.when(c("l_linenumber") == 3, F.regexp_replace("url", "shop", "other")).otherwise(c("url")))
     line = c("l_linenumber")
-    cand = b.select("source_id", "page_url", "url", "text")
+    cand = b.select("source_id", "page_url", "url", "text", c("seq").alias("pos"))
     claim = b.select(
         "page_url", "url", "seq", "name", F.concat_ws(" ", "brand", "name").alias("name_evidence"), "brand",
         F.when(line == 2, c("pc") / 100 + 1).otherwise(c("pc") / 100).alias("price"), F.lit("eur").alias("price_currency"),
@@ -434,6 +441,20 @@ def validate_extractions(spark, d):
     return claims.validate_extractions(cand, claim, sources(spark, d)).select("seq.*", "url", "name", "brand", "price", "rrp")
 
 
+_WHOLE = f"OVER (PARTITION BY l_orderkey, url ORDER BY {_IDS} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+
+
+@query("validate_repeated_extractions", f"""{BASE} SELECT {_IDS}, url, name, brand, pc / 100.0::DOUBLE AS price,
+  CASE WHEN rc > pc AND l_linenumber <> 4 AND rc = last_rc THEN rc / 100.0::DOUBLE END AS rrp
+  FROM (SELECT *, last_value(name) {_WHOLE} AS last_name, last_value(brand) {_WHOLE} AS last_brand, last_value(rc) {_WHOLE} AS last_rc
+    FROM base WHERE l_linenumber <> 3)
+  WHERE l_linenumber NOT IN (2, 5) AND name = last_name AND brand = last_brand""")
+def validate_repeated_extractions(spark, d):
+    """The same over all rows: the last candidate of an address counts, and every claim of the
+    address is held against it."""
+    return _validated(spark, d, _extractions(spark, d))
+
+
 @query("shipping_policies", """SELECT 'shop-' || CAST(s_suppkey AS VARCHAR) AS source_id, (3 + s_suppkey % 4) + 0.95::DOUBLE AS fee, CAST(40 + s_suppkey % 50 AS DOUBLE) AS free_from,
   s_suppkey % 2 = 0 AS free_returns FROM supplier WHERE s_suppkey % 5 <> 0""")
 def shipping_policies(spark, d):

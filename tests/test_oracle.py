@@ -57,3 +57,11 @@ def test_query_equals_sql(spark, con, name):
     got = got.map(lambda v: _plain(v))
     want = want.map(lambda v: _plain(v))
     assert len(got) > 0 and _rows(got) == _rows(want)
+
+
+def test_repeated_candidates(spark, con):
+    from __spark_entry__ import oracle_sql, queries
+    want = con.execute(oracle_sql()["validate_repeated_extractions"]).df()
+    got = queries()["validate_repeated_extractions"](spark, SF).toPandas()
+    assert _rows(got) == _rows(want)
+    assert got.duplicated(["l_orderkey", "url"]).any() and len(got) > len(con.execute(oracle_sql()["validate_extractions"]).df())
