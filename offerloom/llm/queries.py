@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..storage import ship
-from . import extraction, fingerprints, mixing, packing, privacy, quality, rules, secrets, simhash, suffixes
+from . import extraction, fingerprints, mixing, packing, pieces, privacy, quality, rules, secrets, simhash, suffixes
 from .oracles import OP2, OP9
 
 QUERIES: dict = {}
@@ -71,3 +71,8 @@ def op9_source_mixing(spark, sf_dir):
 @_query
 def op10_quality_rules(spark, sf_dir):
     return rules.judge(_documents(spark, sf_dir))
+
+
+@_query
+def op12_sentencepiece(spark, sf_dir):
+    return pieces.digest(pieces.decode(pieces.encode(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")))
