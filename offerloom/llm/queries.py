@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..storage import ship
-from . import extraction, fingerprints, mixing, packing, pieces, privacy, quality, rules, secrets, simhash, suffixes
+from . import extraction, fingerprints, mixing, packing, pieces, privacy, quality, rules, secrets, simhash, suffixes, whitening
 from .oracles import OP2, OP9
 
 QUERIES: dict = {}
@@ -76,3 +76,8 @@ def op10_quality_rules(spark, sf_dir):
 @_query
 def op12_sentencepiece(spark, sf_dir):
     return pieces.digest(pieces.decode(pieces.encode(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")))
+
+
+@_query
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
