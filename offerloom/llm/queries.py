@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..storage import ship
-from . import extraction, fingerprints, mixing, packing, pieces, privacy, quality, rules, secrets, simhash, suffixes, whitening
+from . import conversations, extraction, fingerprints, mixing, packing, pieces, privacy, quality, rules, secrets, simhash, suffixes, whitening
 from .oracles import OP2, OP9
 
 QUERIES: dict = {}
@@ -73,6 +73,11 @@ def op10_quality_rules(spark, sf_dir):
     return rules.judge(_documents(spark, sf_dir))
 
 
+@_query
+def op11_conversation_repair(spark, sf_dir):
+    return conversations.digest(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 @_query
 def op12_sentencepiece(spark, sf_dir):
     return pieces.digest(pieces.decode(pieces.encode(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")))
