@@ -2,7 +2,7 @@
 
 Plain parquet has no MERGE. A key that is a partition is replaced with dynamic partition
 overwrite; a finer key is merged into the partitions it touches."""
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import work_folder
@@ -32,6 +32,16 @@ def replace_one(df: DataFrame, path: str, **partition) -> None:
     df.drop(*partition).write.mode("overwrite").parquet(f"{path}/{folder}")
 
 
+def drop_partitions(spark: SparkSession, path: str, partition: str, gone) -> None:
+    """Delete the partitions of a table by one integer column for which `gone` holds, least first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith(f"{partition}=")]
+    for value, p in sorted(((int(p.getName().split("=", 1)[1]), p) for p in found), key=lambda x: x[0]):
+        if gone(value):
+            fs.delete(p, True)
+
+
 def write_run(tables: dict, path: str, run_date) -> None:
     """K2: replace the stored tables (report, deals, near, ...) of a run date."""
     for name, df in tables.items():

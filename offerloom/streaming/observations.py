@@ -77,15 +77,37 @@ def price_drop_alerts(moves: DataFrame) -> DataFrame:
     return moves.where((c("observations") > 1) & (c("last_price") < c("first_price")))
 
 
-def write_versions(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", trigger: dict | None = None):
+def write_versions(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", trigger: dict | None = None,
+                   fold_every: int | None = None, newest=None):
     """T5: each micro-batch replaces its own partition of the table (K1 keyed by batch id).
-    `trigger` holds the arguments of the stream's trigger."""
+    `trigger` holds the arguments of the stream's trigger. With `fold_every`, every so many batches
+    the versions so far are folded by `newest` (a function of the table, as `newest_versions`)."""
     def save(batch: DataFrame, batch_id: int):
         sk.replace_partitions(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"])
+        if fold_every and (batch_id + 1) % fold_every == 0:
+            fold_versions(batch.sparkSession, path, newest, batch_id)
     return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .foreachBatch(save).trigger(**(trigger or {"availableNow": True})).start())
 
 
+#: Folded versions count as older than every batch.
+FOLDED = -(1 << 62)
+
+
+def fold_versions(spark: SparkSession, path: str, newest, upto: int, files: int = 8) -> None:
+    """T5: the newest versions among the batches up to `upto` and earlier folds become one partition
+    of `files` files, and the partitions they came from go, oldest first: what is left at any moment
+    is the fold and the newest batches, so a reader always finds the newest version of a key, and a
+    fold that broke off is simply repeated. Readers that started before may miss files and have to
+    read again, as with any rewritten table."""
+    table = spark.read.parquet(path).where(c("batch_id") <= upto)
+    if table.isEmpty():
+        return
+    folded = newest(table).drop("batch_id").repartition(files)
+    sk.replace_one(folded, path, batch_id=FOLDED + upto)
+    sk.drop_partitions(spark, path, "batch_id", lambda b: b <= upto and b != FOLDED + upto)
+
+
 def newest_versions(table: DataFrame, keys) -> DataFrame:
     """The newest version of every key of a table written by `write_versions`."""
     rest = [x for x in table.columns if x not in (*keys, "batch_id")]
