@@ -80,7 +80,7 @@ def op11_conversation_repair(spark, sf_dir):
 
 @_query
 def op12_sentencepiece(spark, sf_dir):
-    return pieces.digest(pieces.decode(pieces.encode(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")))
+    return pieces.digest(pieces.round_trip(_documents(spark, sf_dir).select("doc_id", "text")))
 
 
 @_query
