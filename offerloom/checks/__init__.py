@@ -1,3 +1,3 @@
 """Driver-facing queries over the given tables and the SQL they are compared with."""
-from . import core, history, runs, sources, streams  # noqa: F401
+from . import core, history, runs, sources, sql_surface, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -34,6 +34,11 @@ def _resolve_cut(c) -> Column:
         F.regexp_replace(out["text"], letter_first, "$1").alias("text"), out["verdict"].alias("verdict"))).otherwise(out)
 
 
+def cleaned(label) -> Column:
+    """The label as the rules read it: struct(text, verdict), the verdict of a cut that decides alone."""
+    return _resolve_cut(_clean(label))
+
+
 def _letters(text: Column) -> Column:
     return (F.when(text.rlike(fv.SIZE_LONG_LETTER), F.lit(OTHER))
             .when(text.rlike(fv.SIZE_TARGET_LETTER), F.lit(TARGET))

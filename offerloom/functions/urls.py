@@ -27,16 +27,21 @@ def canonical_url(url, drop_query: bool = False) -> Column:
     return F.trim(F.regexp_replace(blank(url), r"[?#].*$" if drop_query else "#.*$", ""))
 
 
+def resolve(base: str | None, href: str | None) -> str:
+    """A relative address resolved, '' when it is not an http address."""
+    if not href:
+        return ""
+    try:
+        out = urljoin(base or "", href)
+    except ValueError:
+        return ""
+    return out if out.startswith(("http://", "https://")) else ""
+
+
 @pandas_udf(StringType())
 def absolute_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """relative address resolution, '' when it is not an http address."""
-    def join(b, h):
-        try:
-            out = urljoin(b or "", h or "")
-        except ValueError:
-            return ""
-        return out if h and out.startswith(("http://", "https://")) else ""
-    return pd.Series([join(b, h) for b, h in zip(base, href)])
+    return pd.Series([resolve(b, h) for b, h in zip(base, href)])
 
 
 def host_of(url) -> Column:
