@@ -32,3 +32,45 @@ OP9 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN source
    CAST(floor(target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size) AS BIGINT) AS left1, false AS t0 FROM m JOIN tar ON tar.k = m.k)""" + "".join(
     _sweep(k) for k in (1, 2, 3)) + """
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST((whole + CASE WHEN t3 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM s3x"""
+
+
+def _plus(state: str, cost, edit: str) -> str:
+    """A state (six digits of cost, then the audit) after one more edit."""
+    return f"lpad(CAST(CAST(substr({state}, 1, 6) AS INT) + {cost} AS VARCHAR), 6, '0') || substr({state}, 7) || '{edit}'"
+
+
+def _keep(initial: str, *states: str) -> str:
+    """K from any of the states, where the row's initial and fault allow it."""
+    return ", ".join(f"CASE WHEN i = '{initial}' AND f < 2 THEN {_plus(s, '3 * f', 'K')} END" for s in states)
+
+
+def _rerole(*states: str) -> str:
+    return ", ".join(f"CASE WHEN f < 2 THEN {_plus(s, '3 + 3 * f', 'R')} END" for s in states)
+
+
+#: Insertions before the next row: a state as text, least() passes over states that are not reached.
+_INSERTED = f"SELECT *, least(b3, {_plus('b2', 3, 'I')}) AS b3i FROM (SELECT *, a0 AS b0, a1 AS b1, a3 AS b3, least(a2, {_plus('a0', 3, 'I')}, {_plus('a1', 3, 'I')}, {_plus('a3', 3, 'I')}) AS b2 FROM dp)"
+OP11 = f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+ codes AS (SELECT k, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda ch: CAST(unicode(ch) AS UBIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 20 AS code FROM (SELECT DISTINCT k FROM c)),
+ d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM c JOIN codes ON codes.k = c.k),
+ o AS (SELECT *, substr(role, 1, 1) AS ini, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p FROM d),
+ m AS (SELECT *, CASE WHEN seen = '' THEN 2 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 3 WHEN right(seen, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS f,
+    CASE WHEN lag(ini) OVER (PARTITION BY conv_id ORDER BY p) || ini IN ('su', 'ua', 'au') OR lag(ini) OVER (PARTITION BY conv_id ORDER BY p) IS NULL THEN 0 ELSE 1 END AS bad FROM o),
+ per AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 2) AS blank, count(*) FILTER (f = 3) AS duplicate, count(*) FILTER (f = 1) AS truncated, sum(bad) AS illegal,
+    string_agg(CASE WHEN ini IN ('s', 'u', 'a') THEN ini ELSE 'o' END || f, '' ORDER BY p) AS s FROM m GROUP BY conv_id),
+ dp AS (SELECT s, 0 AS p, '000000' AS a0, NULL::VARCHAR AS a1, NULL::VARCHAR AS a2, NULL::VARCHAR AS a3 FROM (SELECT DISTINCT s FROM per)
+   UNION ALL SELECT s, p + 1, {_plus('b0', 4, 'D')}, least({_plus('b1', 4, 'D')}, {_keep('s', 'b0')}), least({_plus('b2', 4, 'D')}, {_keep('u', 'b0', 'b1', 'b3i')}, {_rerole('b0', 'b1', 'b3i')}),
+     least({_plus('b3i', 4, 'D')}, {_keep('a', 'b2')}, {_rerole('b2')})
+   FROM (SELECT *, substr(s, 2 * p + 1, 1) AS i, CAST(substr(s, 2 * p + 2, 1) AS INT) AS f FROM ({_INSERTED}) WHERE 2 * p < length(s))),
+ best AS (SELECT s, least(b0, b3i) AS r FROM ({_INSERTED}) WHERE 2 * p = length(s)),
+ done AS (SELECT per.*, CAST(substr(r, 1, 6) AS BIGINT) AS cost, substr(r, 7) AS audit FROM per JOIN best ON best.s = per.s),
+ edits AS (SELECT conv_id, e, k, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER w AS p, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER w AS j FROM (SELECT conv_id, unnest(string_split(audit, '')) AS e, unnest(range(1, length(audit) + 1)) AS k FROM done WHERE audit <> '')
+    WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+ said AS (SELECT x.*, role, CASE WHEN e = 'I' THEN '' ELSE text END AS text, max(CASE WHEN j = 1 AND e = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS opens
+    FROM edits x LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM x.conv_id AND m.p = x.p WHERE e <> 'D'),
+ whole AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - opens) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS t FROM said GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM c) a LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM a.conv_id"""

@@ -3,10 +3,10 @@ from pyspark.sql import functions as F
 
 from ..storage import ship
 from . import conversations, extraction, fingerprints, mixing, packing, pieces, privacy, quality, rules, secrets, simhash, suffixes, whitening
-from .oracles import OP2, OP9
+from .oracles import OP2, OP9, OP11
 
 QUERIES: dict = {}
-ORACLES: dict = {"op2_suffix_array_dedup": OP2, "op9_source_mixing": OP9}
+ORACLES: dict = {"op2_suffix_array_dedup": OP2, "op9_source_mixing": OP9, "op11_conversation_repair": OP11}
 
 
 def _query(fn):
