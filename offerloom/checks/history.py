@@ -283,11 +283,20 @@ def price_history(spark, d):
 
 
 @query("price_change", f"""{PUBLISHED} SELECT offer_key, count(*) AS observations, arg_min(price, run_date) AS first_price, arg_max(price, run_date) AS last_price,
-  CASE WHEN count(*) > 1 THEN arg_min(price, run_date) END AS earlier_price FROM points GROUP BY 1""")
+  CASE WHEN count(*) > 1 THEN arg_min(price, run_date) END AS earlier_price, arg_max(row(price, previous), run_date)[2] AS previous_price, arg_max(price, run_date) - arg_max(row(price, previous), run_date)[2] AS last_step,
+  arg_max(row(price, low), run_date)[2] AS lowest_before FROM (SELECT *, lag(price) OVER (PARTITION BY offer_key ORDER BY run_date) AS previous,
+    min(price) OVER (PARTITION BY offer_key ORDER BY run_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM points) GROUP BY 1""")
 def price_change(spark, d):
     return hi.price_change(points(spark, d))
 
 
+@query("price_steps", f"""{PUBLISHED}, s AS (SELECT *, lag(price) OVER (PARTITION BY offer_key ORDER BY run_date) AS previous_price,
+    min(price) OVER (PARTITION BY offer_key ORDER BY run_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lowest_before FROM points)
+  SELECT offer_key, run_date, price, previous_price, lowest_before, price - previous_price AS step, coalesce(price < lowest_before, false) AS new_low FROM s""")
+def price_steps(spark, d):
+    return hi.price_steps(points(spark, d)).drop("seq")
+
+
 @query("complete_runs", f"""{RAW} SELECT {_MON} AS run_date, count(DISTINCT floor(l_suppkey / 6)) AS batch_count FROM raw GROUP BY 1
   HAVING count(DISTINCT floor(l_suppkey / 6)) = (SELECT count(DISTINCT floor(s_suppkey / 6)) FROM supplier)""")
 def complete_runs(spark, d):

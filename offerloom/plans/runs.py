@@ -4,7 +4,8 @@ Stored tables below one root folder:
   screened/  run_date, batch   every raw row with its reason and normalized columns
   coverage/  run_date, batch   one row per source
   ranked/    run_date          one row per model, with keys and `qualifies`
-  report/, metrics/, sources/, deals/, near/   run_date
+  report/, deals/, near/   run_date
+  history/   run_date          per offer key its prices up to this run
 A result that several steps use is written once and read back, so a lost executor costs a
 re-read and not the whole lineage."""
 from dataclasses import dataclass
@@ -97,6 +98,7 @@ def finalize_run(spark: SparkSession, root: str, run_date, expected: DataFrame,
     previous = _previous(spark, root, run_date, snapshot_at)
     report = report.withColumn("baseline_date", F.lit(previous).cast("date"))
     sk.write_run({"report": report, "deals": rk.deals_of(ranked), "near": rk.near_of(ranked, profile)}, root, run_date)
+    _keep_history(spark, root, run_date)
     return Published(True, missing, *_results(spark, root, run_date, previous))
 
 
@@ -157,15 +159,46 @@ def replay_latest(spark: SparkSession, root: str, batches: int, hidden: DataFram
                      rk.near_of(ranked, profile), cov)
 
 
+def _published(spark: SparkSession, root: str) -> DataFrame:
+    return jo.union_all(spark.read.parquet(f"{root}/deals"), spark.read.parquet(f"{root}/near"))
+
+
+def _days(spark: SparkSession, root: str, table: str) -> list[str]:
+    """Run dates of a stored table, oldest first."""
+    try:
+        found = spark.read.parquet(f"{root}/{table}").select("run_date").distinct()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return sorted(str(r[0]) for r in found.collect())
+
+
+def _keep_history(spark: SparkSession, root: str, run_date) -> None:
+    """The price history after this run, from the state of the run before and this run's prices.
+    A run that is published again replaces its own state; states of later runs are stale then and
+    are made again, each from the one before."""
+    day = str(run_date)
+    later = [x for x in _days(spark, root, "report") if x > day]
+    known = set(_days(spark, root, "history"))
+    before = [x for x in _days(spark, root, "report") if x < day]
+    start = [x for x in before if x not in known] or [day]
+    for now in [x for x in before if x >= start[0]] + [day] + later:
+        old = max((x for x in {*before, day, *later} if x < now), default=None)
+        rows = _published(spark, root).where(c("run_date") == F.lit(now).cast("date"))
+        points = hi.history_points(rows)
+        sk.write_run({"history": hi.merged_history(stored(spark, f"{root}/history", old).drop("run_date") if old else None, points, now)}, root, now)
+
+
 def current_view(spark: SparkSession, root: str, hidden: DataFrame | None = None, profile: Profile = DEFAULT):
     """Deals and near misses of the latest run judged by the current rules, each with the
-    change of its price over the stored runs. Returns (deals, near)."""
-    published = jo.union_all(spark.read.parquet(f"{root}/deals"), spark.read.parquet(f"{root}/near"))
-    day = rk.latest(spark.read.parquet(f"{root}/report").select("run_date"), "run_date", 1)
-    now = published.join(day, "run_date", "left_semi")
+    change of its price over the stored runs. The change comes from the kept history of the latest
+    run, of which only the keys that are shown are joined. Returns (deals, near)."""
+    day = rk.latest(spark.read.parquet(f"{root}/report").select("run_date"), "run_date", 1).first()["run_date"]
+    now = _published(spark, root).where(c("run_date") == F.lit(day))
     deals, near = rk.select_deals(no.rescreen(now.drop("qualifies", "first_seq", "model_seq", "reason"), hidden), profile)
-    change = hi.price_change(hi.history_points(published))
-    return tuple(jo.lookup_join(x, change, "offer_key", "url").orderBy(F.desc("score"), F.asc("model_seq"))
+    change = hi.change_of(stored(spark, f"{root}/history", day))
+    return tuple(x.join(jo.semi_by_key(change, x, ["offer_key"]), "offer_key", "left").orderBy(F.desc("score"), F.asc("model_seq"))
                  for x in (deals, near))
 
 
