@@ -200,12 +200,14 @@ def availability_tail(c) -> Column:
     return F.coalesce(or_null(F.element_at(F.split(clean_text(c), "/"), -1)), F.lit("unknown"))
 
 
+def name_words(c) -> Column:
+    """Words of a name of more than two letters, each once."""
+    return F.filter(F.array_distinct(F.split(fold(c, ae=False), "[^a-z0-9]+")), lambda w: F.length(w) > 2)
+
+
 def name_similarity(a, b) -> Column:
     """shared words of more than two letters, relative to the shorter name."""
-    def words(c):
-        return F.filter(F.array_distinct(F.split(fold(c, ae=False), "[^a-z0-9]+")),
-                        lambda w: F.length(w) > 2)
-    return let(F.struct(words(a).alias("a"), words(b).alias("b")), lambda p: F.when(
+    return let(F.struct(name_words(a).alias("a"), name_words(b).alias("b")), lambda p: F.when(
         (F.size(p["a"]) > 0) & (F.size(p["b"]) > 0),
         F.size(F.array_intersect(p["a"], p["b"])) / F.least(F.size(p["a"]), F.size(p["b"])))
         .otherwise(F.lit(0.0)))

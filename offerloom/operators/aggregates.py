@@ -102,12 +102,22 @@ def one_row(*parts: DataFrame) -> DataFrame:
 
 
 def run_report(coverage: DataFrame, normalized: DataFrame, screened: DataFrame, ranked: DataFrame,
-               near_min: float = fv.NEAR_MIN_PCT, near_limit: int = fv.NEAR_LIMIT) -> DataFrame:
-    """A5: the counters of a run, one row."""
+               near_min: float = fv.NEAR_MIN_PCT, near_limit: int = fv.NEAR_LIMIT, planned: DataFrame | None = None,
+               unknown: DataFrame | None = None) -> DataFrame:
+    """A5: the counters of a run, one row: when its first batch started and its last one finished, how
+    many sources were planned (`planned`: batches with source_count), and what came from sources that
+    are not registered (`unknown`: source_id, offers)."""
     near = ~F.col("qualifies") & (F.col("effective_discount_pct") >= near_min)
     picks = ranked.agg(F.count_if("qualifies").alias("qualified_deals"),
                        F.least(F.count_if(near), F.lit(near_limit)).alias("near_misses"))
-    return one_row(status_counts(coverage), offer_counts(normalized, screened), picks)
+    parts = [status_counts(coverage), offer_counts(normalized, screened), picks]
+    if {"started_at", "finished_at"} <= set(coverage.columns):
+        parts.append(coverage.agg(F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at")))
+    if planned is not None:
+        parts.append(planned.agg(F.coalesce(F.sum("source_count"), F.lit(0)).cast("long").alias("planned_sources")))
+    if unknown is not None:
+        parts.append(unknown.agg(F.countDistinct("source_id").alias("unknown_sources"), F.coalesce(F.sum("offers"), F.lit(0)).alias("unknown_offers")))
+    return one_row(*parts)
 
 
 PLAIN_METRICS = ["success", "partial", "browser", "blocked", "failed", "raw_offers", "normalized_offers",

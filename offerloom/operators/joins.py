@@ -170,44 +170,21 @@ def without_hidden(offers: DataFrame, hidden: DataFrame) -> DataFrame:
 # ---- J6-J8 -----------------------------------------------------------------------
 def merge_detail(offers: DataFrame, variants: DataFrame, cards: DataFrame | None = None) -> DataFrame:
     """Product-page variants (source_id, page_url, seq and raw columns) confirm stock, sizes and a
-    reference for listing offers. Work is done once per distinct (source, url, name, price), with
-    partial aggregation, and joined back."""
-    key = ["source_id", "url", "_name", "_price"]
-    offers = offers.withColumns({"_name": tx.blank(F.col("name")), "_price": F.coalesce("price", F.lit(-1.0))})
-    asked = offers.select(*key).distinct()
-
-    def matched(rows, need_name):
-        v = rows.select("source_id", F.col("page_url").alias("url"), F.col("name").alias("v_name"),
-                        F.col("price").alias("v_price"), "sizes", "size_availability", "availability",
-                        F.col("rrp").alias("v_rrp"), F.col("rrp_source").alias("v_src"), F.col("seq").alias("v_seq"))
-        similar = tx.similar_name(F.col("v_name"), F.col("_name"))
-        if not need_name:
-            similar = similar | (tx.blank(F.col("v_name")) == "")
-        pairs = asked.join(v, ["source_id", "url"]).where(similar)
-        at_price = F.coalesce(same_price(F.col("v_price"), F.col("_price")), F.lit(False)) & (F.col("_price") >= 0)
-        good_ref = at_price & F.coalesce((F.col("v_rrp") > F.col("_price")) & (F.col("v_src") != ""), F.lit(False))
-        if need_name:
-            good_ref = at_price & F.coalesce((F.col("v_rrp") > 0) & (F.col("v_src") != ""), F.lit(False))
-        return pairs.withColumns({"at_price": at_price, "good_ref": good_ref})
-
-    ref = F.when(F.col("good_ref"), F.struct(F.col("v_rrp").alias("rrp"), F.col("v_src").alias("src")))
-    sold = F.lower(tx.blank(F.col("availability"))).rlike(fv.DETAIL_SOLD_OUT_PATTERN)
-    by_size = (matched(variants, need_name=False)
-               .withColumn("size", F.explode_outer("sizes"))
-               .withColumn("offered", F.col("at_price") & (F.col("size_availability") == "available")
-                           & (tx.blank(F.col("size")) != ""))
-               .groupBy(*key, F.when(F.col("offered"), F.col("size")).alias("size"))
-               .agg(F.min("v_seq").alias("size_seq"), F.bool_and(sold).alias("sold"),
-                    F.min_by(ref, F.when(F.col("good_ref"), F.col("v_seq"))).alias("ref"),
-                    F.min(F.when(F.col("good_ref"), F.col("v_seq"))).alias("ref_seq")))
-    found = by_size.groupBy(*key).agg(
-        F.bool_and("sold").alias("d_sold"),
-        F.array_sort(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size_seq", "size")))).alias("d_sizes"),
-        F.min_by("ref", "ref_seq").alias("d_ref"))
+    reference for listing offers. Work is done once per distinct (source, url, words of the name,
+    price) and joined back; `details` finds what belongs together inside an address."""
+    from . import details as de
+    key = ["source_id", "url", "_words", "_price"]
+    offers = offers.withColumns({"_words": de.word_set(F.col("name")), "_price": F.coalesce("price", F.lit(-1.0))})
+    asked = offers.select(*key).distinct().withColumnRenamed("_words", "words")
+
+    def variants_of(rows):
+        return rows.select("source_id", F.col("page_url").alias("url"), F.col("name").alias("v_name"), F.col("price").alias("v_price"), "sizes",
+                           "size_availability", "availability", F.col("rrp").alias("v_rrp"), F.col("rrp_source").alias("v_src"), F.col("seq").alias("v_seq"))
+    found = de.found_details(asked, variants_of(variants), need_name=False).withColumnRenamed("words", "_words").select(
+        *key, F.col("sold").alias("d_sold"), F.col("sizes").alias("d_sizes"), F.col("ref").alias("d_ref"))
     out = offers.join(found, key, "left")
     if cards is not None:
-        fallback = matched(cards, need_name=True).groupBy(*key).agg(
-            F.min_by(ref, F.when(F.col("good_ref"), F.col("v_seq"))).alias("c_ref"))
+        fallback = de.found_details(asked, variants_of(cards), need_name=True).withColumnRenamed("words", "_words").select(*key, F.col("ref").alias("c_ref"))
         out = out.join(fallback, key, "left").withColumn("d_ref", F.coalesce("d_ref", "c_ref")).drop("c_ref")
     sold_out = F.coalesce(F.col("d_sold"), F.lit(False))
     sizes = F.transform(F.coalesce(F.col("d_sizes"), F.array()), lambda x: x["size"])
@@ -223,7 +200,7 @@ def merge_detail(offers: DataFrame, variants: DataFrame, cards: DataFrame | None
         "rrp": F.when(F.col("_take_ref"), F.col("d_ref.rrp")).otherwise(F.col("rrp")),
         "rrp_source": F.when(F.col("_take_ref"), F.concat(F.lit("detail:"), F.col("d_ref.src")))
         .otherwise(F.col("rrp_source"))}).drop(
-            "_sold", "_take_sizes", "_take_ref", "_new", "d_sold", "d_sizes", "d_ref", "_name", "_price")
+            "_sold", "_take_sizes", "_take_ref", "_new", "d_sold", "d_sizes", "d_ref", "_words", "_price")
 
 
 def discount_checks(offers: DataFrame, limit: int | None = None) -> DataFrame:

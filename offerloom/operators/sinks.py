@@ -5,7 +5,7 @@ overwrite; a finer key is merged into the partitions it touches."""
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import work_folder
+from ..storage import stored, work_folder
 
 BUCKETS = 8
 
@@ -50,8 +50,8 @@ def write_run(tables: dict, path: str, run_date) -> None:
 
 def upsert(df: DataFrame, path: str, partitions, keys) -> None:
     """Replace rows by key inside the partitions `df` touches: kept rows of those partitions
-    and the new rows are staged, then the partitions are swapped."""
-    spark = df.sparkSession
+    and the new rows are staged, then the partitions are swapped. `df` is computed once."""
+    spark, df = df.sparkSession, stored(df, "upsert")
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # first write: the table does not exist yet

@@ -2,12 +2,14 @@
 
 Stored tables below one root folder:
   screened/  run_date, batch   every raw row with its reason and normalized columns
-  coverage/  run_date, batch   one row per source
+  coverage/  run_date, batch   one row per source, with the times of its batch
+  unknown/   run_date, batch   offers per source that is not registered, under the first batch of the call
   ranked/    run_date          one row per model, with keys and `qualifies`
   report/, deals/, near/   run_date
   history/   run_date          per offer key its prices up to this run
 A result that several steps use is written once and read back, so a lost executor costs a
 re-read and not the whole lineage."""
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,7 @@ from ..operators import ranking as rk
 from ..operators import sinks as sk
 from ..settings import DEFAULT, Profile
 from ..sources.reference import stored
+from ..storage import stored as written
 
 c = F.col
 
@@ -42,12 +45,25 @@ def _screened(spark: SparkSession, root: str, run_date) -> DataFrame:
     return stored(spark, f"{root}/screened", run_date).where(c("source_id").isNotNull())
 
 
+def _time(at):
+    """A time as a constant; now, unless one is given."""
+    at = dt.datetime.now(dt.timezone.utc) if at is None else at
+    return F.lit(at).cast("timestamp")
+
+
+def _unknown(spark: SparkSession, root: str, run_date) -> DataFrame:
+    return stored(spark, f"{root}/unknown", run_date)
+
+
 def run_batch(raw: DataFrame, crawl: DataFrame, root: str, run_date, snapshots: DataFrame | None = None,
               source_brands: DataFrame | None = None, policies: DataFrame | None = None,
-              rates: DataFrame | None = None, now=None, profile: Profile = DEFAULT) -> DataFrame:
+              rates: DataFrame | None = None, now=None, profile: Profile = DEFAULT, started_at=None, finished_at=None) -> DataFrame:
     """J4 -> J1 -> J3 -> P1/P2 -> K1, then A2/A3/F31 from the stored rows. `raw` and
-    `crawl` carry `batch`. Running it again replaces the same partitions. Returns coverage."""
+    `crawl` carry `batch`. Running it again replaces the same partitions. Rows of sources that
+    `crawl` does not name are counted per source and belong to no batch. The times of the batch are
+    those of this call unless given. Returns coverage."""
     spark = raw.sparkSession
+    started_at = _time(started_at)
     sent = raw.select("source_id")
     batch_of = crawl.select("source_id", c("batch").alias("_batch"))
     if snapshots is not None:
@@ -61,13 +77,19 @@ def run_batch(raw: DataFrame, crawl: DataFrame, root: str, run_date, snapshots:
         raw = jo.enrich_source_brand(raw, source_brands)
     if policies is not None:
         raw = jo.apply_shipping(raw, policies)
-    screened = jo.lookup_join(no.screen_offers(raw.drop("batch"), profile, rates), batch_of, "source_id", "url")
     touched = crawl.select("batch").distinct()
+    registered = jo.lookup_join(raw.drop("batch"), batch_of, "source_id", "url", "inner")
+    screened = no.screen_offers(registered, profile, rates)
+    strange = jo.anti_by_key(raw.select("source_id"), crawl, ["source_id"]).groupBy("source_id").agg(F.count(F.lit(1)).alias("offers"))
+    first = touched.agg(F.min("batch")).first()[0]
+    if first is not None:
+        sk.replace_one(strange, f"{root}/unknown", run_date=str(run_date), batch=first)
     # A batch whose sources sent nothing replaces its stored rows, too: with a row without a source
     silent = touched.join(jo.semi_by_key(crawl, sent, ["source_id"]).select("batch").distinct(), "batch", "left_anti")
     sk.write_batch(jo.union_all(screened.withColumnRenamed("_batch", "batch"), silent), f"{root}/screened", run_date)
     rows = _screened(spark, root, run_date)
     coverage = ag.source_coverage(rows.join(touched, "batch", "left_semi"), crawl, profile.min_discount)
+    coverage = coverage.withColumns({"started_at": started_at, "finished_at": _time(finished_at)})
     sk.write_batch(coverage, f"{root}/coverage", run_date)
     return stored(spark, f"{root}/coverage", run_date)
 
@@ -93,8 +115,8 @@ def finalize_run(spark: SparkSession, root: str, run_date, expected: DataFrame,
     normalized, kept, ranked = _selection(_screened(spark, root, run_date), hidden, profile)
     sk.write_run({"ranked": ranked}, root, run_date)
     ranked = stored(spark, f"{root}/ranked", run_date)
-    report = ag.run_report(coverage, normalized, kept, ranked, profile.near_min, profile.near_limit)
-    report = report.withColumn("batch_snapshot_at", F.lit(snapshot_at).cast("timestamp"))
+    report = ag.run_report(coverage, normalized, kept, ranked, profile.near_min, profile.near_limit, expected, _unknown(spark, root, run_date))
+    report = report.withColumn("batch_snapshot_at", F.coalesce(F.lit(snapshot_at).cast("timestamp"), "finished_at"))
     previous = _previous(spark, root, run_date, snapshot_at)
     report = report.withColumn("baseline_date", F.lit(previous).cast("date"))
     sk.write_run({"report": report, "deals": rk.deals_of(ranked), "near": rk.near_of(ranked, profile)}, root, run_date)
@@ -205,6 +227,7 @@ def current_view(spark: SparkSession, root: str, hidden: DataFrame | None = None
 def publish_by(ranked: DataFrame, scope, profile: Profile = DEFAULT) -> DataFrame:
     """Deals and near misses of many runs (or arms) at once: per scope all deals and the first
     near misses. `list` is deal or near."""
+    ranked = written(ranked, "ranked")  # read twice
     near = ranked.where(~c("qualifies") & (c("effective_discount_pct") >= profile.near_min))
     near = rk.top_per_group(near, scope, [F.desc("score"), F.asc("model_seq")], profile.near_limit)
     return jo.union_all(ranked.where("qualifies").withColumn("list", F.lit("deal")), near.withColumn("list", F.lit("near")))
@@ -212,7 +235,7 @@ def publish_by(ranked: DataFrame, scope, profile: Profile = DEFAULT) -> DataFram
 
 def ab_report(screened: DataFrame, profile: Profile = DEFAULT):
     """(metrics per arm and source, source comparison, selection per arm) of rows with `arm`."""
-    keyed = rk.with_keys(screened)
+    keyed = written(rk.with_keys(screened), "keyed")  # read by the metrics and by the selection
     metrics = ag.arm_metrics(keyed, profile.min_discount)
     picks = publish_by(rk.rank_models(no.accepted(keyed), profile.min_discount, ("arm",)), ["arm"], profile)
     return metrics, hi.compare_arms(metrics), picks
