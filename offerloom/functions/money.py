@@ -1,4 +1,7 @@
 """Amounts, currencies, reference prices and discount badges."""
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ def amount(c) -> Column:
                   .otherwise(c))
 
 
-def parse_money(c, style: str = "first_number", locale: str | None = None) -> Column:
+def parse_money(c, style: str = "first_number", locale: str | None = None, once=let) -> Column:
     """F1. One function, one `style` per kind of source:
 
     first_number   first amount in markup text; with locale="de" a lone "1.299" is 1299
@@ -41,6 +44,8 @@ def parse_money(c, style: str = "first_number", locale: str | None = None) -> Co
     plain          shop-API text
     strip_symbols  attribute text, everything but digits and separators removed
     first_amount   first card amount
+
+    `once` computes a value for several uses.
     """
     text = blank(c)
     no_space = F.regexp_replace(text, f"{SPACE}|€", "")
@@ -52,14 +57,14 @@ def parse_money(c, style: str = "first_number", locale: str | None = None) -> Co
             joined = F.replace(F.regexp_replace(t, rf"\.|{SPACE}", ""), F.lit(","), F.lit("."))
             return F.when(grouped, joined).otherwise(F.replace(t, F.lit(","), F.lit(".")))
         first = F.regexp_extract(F.regexp_replace(text, SPACE, " "), _FIRST_NUMBER, 0)
-        return positive(number(read(first)))
+        return once(first, lambda t: once(number(read(t)), positive))
     if style == "decimal":
         return positive(amount(no_space))
     if style in ("strip_dots", "feed_cents"):
         n = F.replace(F.replace(no_space, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
         return F.when(n == "", F.lit(0.0)).otherwise(number(n)) if style == "feed_cents" else positive(number(n))
     if style == "de_first":
-        return positive(amount(F.regexp_extract(text, _DE_FIRST, 0)))
+        return once(F.regexp_extract(text, _DE_FIRST, 0), lambda t: positive(amount(t)))
     if style == "plain":
         return positive(number(F.replace(text, F.lit(","), F.lit("."))))
     if style == "strip_symbols":
@@ -68,7 +73,7 @@ def parse_money(c, style: str = "first_number", locale: str | None = None) -> Co
         return positive(number(F.replace(
             F.when(both, F.replace(kept, F.lit("."), F.lit(""))).otherwise(kept), F.lit(","), F.lit("."))))
     if style == "first_amount":
-        return amount(F.regexp_extract(text, AMOUNT, 1))
+        return once(F.regexp_extract(text, AMOUNT, 1), amount)
     raise ValueError(f"unknown money style: {style}")
 
 
@@ -139,14 +144,18 @@ def money_claim_matches(value, currency, evidence) -> Column:
         (m["value"] == value) & (m["currency"] == F.upper(currency)))), F.lit(False))
 
 
+_LABEL_WORDS = [x.replace(r"\b", "") for x in fv.REFERENCE_LABELS]
 _LABELLED = (rf"{edges(any_of(fv.REFERENCE_LABELS))}{SPACE}*:?{SPACE}*(?:€|eur)?{SPACE}*{AMOUNT}")
 _COMPARED = (rf"{EDGE}{any_of(fv.COMPARISON_LABELS)}{EDGE}{SPACE}*:?{SPACE}*(?:ab{SPACE}*)?{AMOUNT}"
              rf"{SPACE}*(?:€|eur)")
 
 
-def labelled_reference(text) -> Column:
-    """the amount directly after a reference-price label."""
-    return positive(amount(F.regexp_extract(F.lower(blank(text)), _LABELLED, 1)))
+def labelled_reference(text, once=let) -> Column:
+    """the amount directly after a reference-price label. The pattern is only tried on texts that
+    hold one of the labels, and once. (`once` computes a value for several uses.)"""
+    return once(F.lower(blank(text)), lambda low: F.when(
+        reduce(or_, [low.contains(w) for w in _LABEL_WORDS]),
+        once(F.regexp_extract(low, _LABELLED, 1), lambda t: positive(amount(t)))))
 
 
 def post_reference(text) -> Column:

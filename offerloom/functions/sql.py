@@ -15,17 +15,24 @@ from . import text as tx
 from . import urls as ur
 
 _TEXT = "STRING"
+
+
+def _plain(value, use):
+    """The value as often as it is used: SQL text has no name for it."""
+    return use(value)
+
+
 #: name -> (arguments, type of the result, rule)
 FUNCTIONS = {
-    "first_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t)),                                                    # F1
-    "feed_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "decimal")),
-    "german_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "strip_dots")),
-    "post_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "de_first")),
-    "shop_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "plain")),
-    "attribute_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "strip_symbols")),
-    "card_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "first_amount")),
+    "first_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, once=_plain)),                                                    # F1
+    "feed_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "decimal", once=_plain)),
+    "german_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "strip_dots", once=_plain)),
+    "post_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "de_first", once=_plain)),
+    "shop_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "plain", once=_plain)),
+    "attribute_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "strip_symbols", once=_plain)),
+    "card_price": ({"t": _TEXT}, "DOUBLE", lambda t: mo.parse_money(t, "first_amount", once=_plain)),
     "currency_code": ({"t": _TEXT}, _TEXT, mo.currency_code),                                                                # F3
-    "labelled_reference": ({"t": _TEXT}, "DOUBLE", mo.labelled_reference),                                                   # F5
+    "labelled_reference": ({"t": _TEXT}, "DOUBLE", lambda t: mo.labelled_reference(t, once=_plain)),                                                   # F5
     "is_up_to": ({"t": _TEXT}, "BOOLEAN", mo.is_up_to),                                                                      # F7
     "clean_text": ({"t": _TEXT}, _TEXT, tx.clean_text),                                                                      # F8
     "decode_entities": ({"t": _TEXT}, _TEXT, tx.decode_entities),
