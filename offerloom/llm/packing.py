@@ -10,6 +10,8 @@ documents themselves are ranked within their length and placed in one distribute
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -34,12 +36,12 @@ RUN = np.dtype([("length", "i8"), ("first", "i8"), ("count", "i8"), ("sequence",
 class Ids:
     """Token ids as little-endian bytes. Text between single spaces is tokenized on its own: in
     a byte-level vocabulary a space opens the next word, so words never share a token. Texts
-    with other white space next to a space are given to the tokenizer whole."""
+    with other white space next to a space are given to the tokenizer whole. The file's added tokens
+    are their own ids wherever they stand in a text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in json.load(open(path, encoding="utf-8"))["added_tokens"]}
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else lambda t: [t]
         self.ranked = _ranked(path)
         self.words: dict[str, bytes] = {}
 
@@ -47,6 +49,10 @@ class Ids:
         return np.asarray(self.ranked.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        parts = self.apart(text)
+        return self._plain(text) if len(parts) == 1 else b"".join([self.added.get(p) or self._plain(p) for p in parts if p])
+
+    def _plain(self, text: str) -> bytes:
         parts = text.split(" ")
         if not all(parts) or _mixed_space(text):
             return self._encode(text)
@@ -65,15 +71,12 @@ class Ids:
 
 
 def _mixed_space(text: str) -> bool:
-    import re
     return re.search(r"\s \s", text) is not None
 
 
 def _ranked(path: str):
     """The file's vocabulary as byte ranks: merged pairs have ids in merge order, so the lowest
     id is the merge that comes first."""
-    import json
-
     import public_tokenizers
     import tiktoken
     vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
