@@ -167,6 +167,44 @@ def current_view_of_three_runs(spark, d):
         "offer_key", "score", "observations", "first_price", "last_price", "previous_price", "last_step", "lowest_before")
 
 
+_TWO = _THREE.replace("(VALUES (0), (1), (2))", "(VALUES (0), (1))").replace("WHERE day < 2 OR l_orderkey % 5 <> 0", "WHERE l_suppkey % 11 <> 5")
+_COUNTS = {"raw_offers": "(SELECT count(*) FROM raw2 x WHERE x.day = {0})", "normalized_offers": "(SELECT count(*) FROM keyed x WHERE x.day = {0})",
+           "confirmed_size_offers": "(SELECT count(*) FROM keyed x WHERE x.day = {0} AND size_fit = 'confirmed')",
+           "qualified_deals": "(SELECT count(*) FROM models x WHERE x.day = {0} AND qualifies)", "near_misses": "(SELECT count(*) FROM near x WHERE x.day = {0})"}
+
+
+def _two_runs(spark, d):
+    """Two stored runs with their times; every eleventh source is not registered any more."""
+    root = sk.work_folder(spark, "runs")
+    raw, crawl, dims = _batch_inputs(spark, d)
+    kept = table(spark, d, "supplier").where(c("s_suppkey") % 11 != 5).select(F.concat(F.lit("shop-"), c("s_suppkey").cast("string")).alias("source_id"))
+    crawl = jo.semi_by_key(crawl, kept, ["source_id"])
+    expected = crawl.groupBy("batch").agg(F.count(F.lit(1)).alias("source_count"))
+    dearer = F.when(c("l_partkey") % 3 == 0, F.floor(c("price") * 110 + 0.5) / 100).otherwise(c("price"))
+    for k, day in enumerate(_DAYS[:2]):
+        runs.run_batch(raw.withColumn("price", dearer) if k else raw, crawl, root, day, rates=dims["rates"], started_at=f"{day} 05:00:00", finished_at=f"{day} 06:30:00")
+        out = runs.finalize_run(spark, root, day, expected)
+    return out
+
+
+@query("compared_runs", f"{_TWO} " + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, {q.format(1)} AS current, CAST({q.format(0)} AS DOUBLE) AS previous, CAST({q.format(1)} - {q.format(0)} AS DOUBLE) AS delta, 'previous-day' AS baseline_kind" for m, q in _COUNTS.items()))
+def compared_runs(spark, d):
+    """What the second run publishes beside the first."""
+    out = _two_runs(spark, d).metrics.where(c("metric").isin(*_COUNTS))
+    return out.select("metric", "current", c("previous").cast("double").alias("previous"), c("delta").cast("double").alias("delta"), "baseline_kind")
+
+
+@query("complete_report", f"""{_TWO} SELECT (SELECT count(*) FROM supplier WHERE s_suppkey % 11 <> 5) AS planned_sources, (SELECT count(*) FROM supplier WHERE s_suppkey % 11 <> 5) AS attempted_sources,
+  (SELECT count(DISTINCT l_suppkey) FROM raw WHERE l_suppkey % 11 = 5) AS unknown_sources, (SELECT count(*) FROM raw WHERE l_suppkey % 11 = 5) AS unknown_offers,
+  '2024-01-04 05:00:00' AS started, '2024-01-04 06:30:00' AS finished, {_COUNTS['qualified_deals'].format(1)} AS qualified_deals""")
+def complete_report(spark, d):
+    """A5: times, planned sources and what came from sources that are not registered."""
+    return _two_runs(spark, d).report.select(
+        "planned_sources", "attempted_sources", "unknown_sources", "unknown_offers", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started"),
+        F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished"), "qualified_deals")
+
+
 # ---- X6 -----------------------------------------------------------------------------------------------
 @query("collect_offers", f"""WITH {op.RAW_CTE}, kinds AS (SELECT *, CASE l_suppkey % 5 WHEN 0 THEN 'shop-api' WHEN 1 THEN 'commerce-api' WHEN 2 THEN 'listing' WHEN 3 THEN 'feed' ELSE 'json-ld' END AS kind FROM raw)
   SELECT source_id, kind AS rung, count(*) AS n FROM kinds GROUP BY 1, 2""")

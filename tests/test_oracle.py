@@ -9,7 +9,8 @@ duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 SOME = ["select_deals", "best_per_model", "screen_offers", "rejection_histogram", "source_coverage", "merge_snapshot", "merge_detail", "to_eur_as_of", "apply_shipping",
-        "price_change", "compare_sources", "jsonld_offers", "html_card_offers", "read_json_feed", "shopify_to_offers", "coverage_by_window", "rank_urls", "fold_documents"]
+        "price_change", "compare_sources", "jsonld_offers", "html_card_offers", "read_json_feed", "shopify_to_offers", "coverage_by_window", "rank_urls", "fold_documents",
+        "card_rows_lateral", "sql_functions", "size_classes_by_table", "product_fit_by_table", "offer_lifetimes", "ordered_price_drops", "price_steps", "complete_report"]
 
 
 def _names():
