@@ -8,6 +8,7 @@ from offerloom.checks import views
 from offerloom.functions import money as mo
 from offerloom.functions import urls as ur
 from offerloom.operators import aggregates as ag
+from offerloom.operators import details as de
 from offerloom.operators import ranking as rk
 from offerloom.sources.page_index import Page
 
@@ -87,3 +88,13 @@ def test_counted_rankings_are_narrow(spark):
     for df in (got, arms):
         for line in _plan(df).splitlines():
             assert not ("min_by" in line and "description" in line)
+
+
+def test_sets_of_an_address_are_dealt_once(spark):
+    asked = spark.createDataFrame([("s", "u", "blue hose keb"), ("s", "v", "grey hose"), (None, "w", "a hose")], "source_id string, url string, words string")
+    offered = spark.createDataFrame([("s", "u", "blue hose"), ("s", "u", "red jacke"), ("s", "x", "grey hose"), (None, "w", "a hose")], "source_id string, url string, words string")
+    met = de.similar_sets(asked, offered)
+    assert [tuple(x) for x in met.collect()] == [("s", "u", "blue hose keb", "blue hose")]
+    plan = _plan(met)
+    # each of the four readings joins to no count of its words any more
+    assert plan.count("Join Inner") == 2
