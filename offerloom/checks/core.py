@@ -12,6 +12,7 @@ from ..operators import joins as jo
 from ..operators import normalize as no
 from ..operators import ranking as rk
 from ..settings import DEFAULT
+from ..storage import stored
 from . import oracle_parts as op
 from .registry import query
 from .views import POLICIES_SQL, SEQ, fx_rates, raw_offers, shared, table
@@ -300,8 +301,16 @@ def crawl_states(spark, d):
             F.lit("json-ld")))).alias("technical_path"))
 
 
+_REPORTED = [*rk.RANKED, "url", "brand", "name", "color", "eligible", "price_evidence", "reason", "class"]
+
+
+def screened_once(spark, d, *more):
+    """The screened rows with what reports read of them, written once: a report reads them several times."""
+    return stored(screened(spark, d).select(*_REPORTED, *more), "screened")
+
+
 def coverage(spark, d):
-    return ag.source_coverage(screened(spark, d), crawl_states(spark, d))
+    return ag.source_coverage(screened_once(spark, d), crawl_states(spark, d))
 
 
 @query("source_coverage", f"{COVERAGE_CTES} SELECT {_COV} FROM coverage")
@@ -336,8 +345,9 @@ def source_quality(spark, d):
    (SELECT count(*) FROM allmodels WHERE qualifies) AS qualified_deals,
    least(12, (SELECT count(*) FROM allmodels WHERE NOT qualifies AND effective_discount_pct >= 30)) AS near_misses""")
 def run_report(spark, d):
-    norm = keyed(spark, d)
-    return ag.run_report(coverage(spark, d), norm, norm, rk.rank_models(norm))
+    rows = screened_once(spark, d)
+    norm = rk.with_keys(no.accepted(rows))
+    return ag.run_report(ag.source_coverage(rows, crawl_states(spark, d)), norm, norm, rk.rank_models(rk.ranked_only(norm)))
 
 
 @query("browser_step_counts", """SELECT step, count(*) AS sources FROM (SELECT unnest(['http-fetch', CASE WHEN s_suppkey % 2 = 0 THEN 'browser-success' ELSE 'json-ld' END]) AS step
@@ -369,4 +379,4 @@ def technical_step_flags(spark, d):
   CAST(sum(confirmed_size_offers) AS BIGINT) AS confirmed_size_offers, CAST(sum(qualified_offers) AS BIGINT) AS qualified_offers,
   min(min_price) AS min_price, max(max_price) AS max_price FROM t GROUP BY GROUPING SETS ((arm, source_id), (arm))""")
 def arm_metrics(spark, d):
-    return ag.arm_metrics(rk.with_keys(screened(spark, d)))
+    return ag.arm_metrics(screened_once(spark, d, "arm", "price"))

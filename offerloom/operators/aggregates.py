@@ -178,8 +178,9 @@ def arm_metrics(screened: DataFrame, minimum: float = 40) -> DataFrame:
         F.count_if(ok & (c("size_fit") == "confirmed")).alias("confirmed"),
         F.min(F.when(c("price") > 0, c("price"))).alias("min_price"),
         F.max(F.when(c("price") > 0, c("price"))).alias("max_price"))
-    from .ranking import rank_models
-    qualified = rank_models(screened.where(ok), minimum, ("arm", "source_id")) if "arm" in screened.columns else None
+    from .ranking import rank_models, ranked_only
+    scope = ("arm", "source_id")
+    qualified = rank_models(ranked_only(screened.where(ok), scope), minimum, scope) if "arm" in screened.columns else None
     qualified = qualified.groupBy("arm", "source_id").agg(F.count_if("qualifies").alias("qualified"))
     per_source = per_url.groupBy("arm", "source_id").agg(
         F.sum("raw").alias("raw_offers"), F.count("url").alias("unique_urls"), F.sum("relevant").alias("relevant_offers"),

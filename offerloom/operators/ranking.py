@@ -106,6 +106,18 @@ def rank_models(offers: DataFrame, minimum: float = fv.MIN_DISCOUNT_PCT, scope=(
     return best_per_model(best_per_offer(offers, scope), minimum, scope)
 
 
+#: What a ranking reads of an offer beside its keys.
+RANKED = ["source_id", "size_fit", "rrp_verified", "discount_verified", "discount_source", "effective_discount_pct",
+          "product_fit_score", "shipping_known", "score", "effective_cost_eur", "seq"]
+
+
+def ranked_only(offers: DataFrame, scope=()) -> DataFrame:
+    """Offers with nothing but their keys and what ranks them: where models are only counted, the
+    other columns need not travel through both aggregations."""
+    keys = dict.fromkeys([*scope, *RANKED, "offer_key", "model_key"])
+    return _keyed(offers).select(*keys)
+
+
 def deals_of(ranked: DataFrame) -> DataFrame:
     """L1: every qualifying model, best score first."""
     return ranked.where("qualifies").orderBy(F.desc("score"), F.asc("model_seq"))
@@ -131,7 +143,7 @@ def select_deals(offers: DataFrame, profile: Profile = DEFAULT):
 
 def qualified_by_source(offers: DataFrame, minimum: float = fv.MIN_DISCOUNT_PCT) -> DataFrame:
     """Qualified models per source, each source judged on its own."""
-    return rank_models(offers, minimum, ("source_id",)).groupBy("source_id").agg(
+    return rank_models(ranked_only(offers, ("source_id",)), minimum, ("source_id",)).groupBy("source_id").agg(
         F.count_if("qualifies").alias("qualified_offers"))
 
 

@@ -235,7 +235,7 @@ def publish_by(ranked: DataFrame, scope, profile: Profile = DEFAULT) -> DataFram
 
 def ab_report(screened: DataFrame, profile: Profile = DEFAULT):
     """(metrics per arm and source, source comparison, selection per arm) of rows with `arm`."""
-    keyed = written(rk.with_keys(screened), "keyed")  # read by the metrics and by the selection
-    metrics = ag.arm_metrics(keyed, profile.min_discount)
-    picks = publish_by(rk.rank_models(no.accepted(keyed), profile.min_discount, ("arm",)), ["arm"], profile)
+    rows = written(screened, "arms")  # read by the metrics and by the selection; only accepted rows need keys
+    metrics = ag.arm_metrics(rows, profile.min_discount)
+    picks = publish_by(rk.rank_models(no.accepted(rows), profile.min_discount, ("arm",)), ["arm"], profile)
     return metrics, hi.compare_arms(metrics), picks
