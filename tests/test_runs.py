@@ -6,6 +6,7 @@ from helpers import raw, values
 from offerloom.operators import history as hi
 from offerloom.operators import sinks as sk
 from offerloom.plans import collect, runs
+from offerloom.sources.reference import stored
 
 c = F.col
 DAY1, DAY2 = "2024-01-02", "2024-01-03"
@@ -120,3 +121,27 @@ def test_ladder(spark):
                                          jsonld=rows(["g", "l", "p"]), cards=rows(["g", "b"], name="Rucksack", **bare))
     assert sorted(set(values(offers, "source_id", "rung"))) == [("a", "shop-api"), ("b", "card"), ("g", "card"), ("g", "json-ld"), ("g", "listing"), ("l", "listing"), ("p", "posts")]
     assert dict(values(cov, "source_id", "status")) == {"p": "success", "a": "success", "l": "success", "g": "partial", "b": "blocked", "x": "failed"}
+
+
+def test_folders_do_not_grow_with_the_batches(spark, tmp_path):
+    path = str(tmp_path / "many")
+    df = spark.range(4000).select("id", (c("id") % 500).cast("int").alias("batch"))
+    sk.write_batch(df, path, DAY1)
+    folders = list((tmp_path / "many" / f"run_date={DAY1}").iterdir())
+    assert len(folders) <= sk.BATCH_BUCKETS
+    # one batch is written again: those that share its folder stay, also with the batches named
+    sk.write_batch(df.where("batch = 7").withColumn("id", c("id") + 10000), path, DAY1)
+    sk.write_batch(df.where("batch = 8").limit(1), path, DAY1, batches=spark.createDataFrame([(8,)], "batch int"))
+    got = stored(spark, path, DAY1)
+    assert got.columns == ["id", "batch", "run_date"] and got.count() == 4000 - 7
+    assert got.where("batch = 7 and id >= 10000").count() == 8 and got.where("batch = 8").count() == 1
+    assert stored(spark, path, before=DAY2, batches=[7, 8]).count() == 9
+
+
+def test_rows_without_a_batch_are_replaced_too(spark, tmp_path):
+    path = str(tmp_path / "nulls")
+    df = spark.createDataFrame([(1, None), (2, None), (3, 4)], "id int, batch int")
+    sk.write_batch(df, path, DAY1)
+    sk.write_batch(df.where("id = 2"), path, DAY1)
+    sk.write_batch(df.where("id = 1"), path, DAY2)
+    assert sorted(values(spark.read.parquet(path).withColumn("d", c("run_date").cast("string")), "id", "d")) == [(1, DAY2), (2, DAY1), (3, DAY1)]
