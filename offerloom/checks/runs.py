@@ -6,12 +6,13 @@ from ..operators import normalize as no
 from ..operators import sinks as sk
 from ..plans import collect, runs
 from ..sources.reference import stored
+from ..storage import stored as written
 from ..streaming import observations as ob
 from . import oracle_parts as op
 from .core import COVERAGE_CTES, HIDDEN_CTE, crawl_states, hidden_models, keyed, offers, screened  # noqa: F401
 from .registry import query
 from .sources import BASE, base, de
-from .views import POLICIES_SQL, SEQ, fx_rates, raw_offers, shared, table
+from .views import POLICIES_SQL, SEQ, TASKS_PER_CORE, fx_rates, raw_offers, shared, table
 
 c = F.col
 
@@ -292,8 +293,10 @@ def feed_stream(spark, d):
 def select_deals_stream(spark, d):
     path = sk.work_folder(spark, "deals-stream")
     raw = raw_offers(spark, d)
-    raw.repartition(4, *SEQ).write.parquet(f"{path}/raw")
-    files = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/raw")
-    stream = no.normalize_offers(files, rates=fx_rates(spark, d))
+    # four micro-batches, each of as many files as there are tasks to read them
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    raw.repartition(4 * tasks, *SEQ).write.parquet(f"{path}/raw")
+    files = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", tasks).parquet(f"{path}/raw")
+    stream = no.normalize_offers(files, rates=written(fx_rates(spark, d), "rates"))  # read by every micro-batch
     ob.select_deals_stream(stream, f"{path}/best", f"{path}/checkpoint").awaitTermination()
     return ob.stream_models(spark.read.parquet(f"{path}/best")).where("qualifies").select("offer_key", "model_key", "score")
