@@ -161,10 +161,11 @@ def detail_candidates(offers: DataFrame, brands, limit: int | None = None) -> Da
     c = F.col
     proven = sc.has_evidence(c("rrp") - 1, c("rrp"), c("rrp_source"), c("observed_discount_pct"), c("discount_source"))
     sized = F.coalesce(F.size("sizes"), F.lit(0)) > 0
-    rows = offers.where(
-        (tx.blank(c("url")) != "") & (tx.blank(c("name")) != "") & tx.is_eligible(c("name"), c("description"))
-        & tx.is_premium(c("brand"), c("name"), brands)
-        & ~F.lower(tx.blank(c("availability"))).rlike("out.of.stock|sold.out|ausverkauft"))
+    wanted = ((tx.blank(c("url")) != "") & (tx.blank(c("name")) != "")
+              & ~F.lower(tx.blank(c("availability"))).rlike("out.of.stock|sold.out|ausverkauft")
+              & tx.is_eligible(c("name"), c("description")) & tx.is_premium(c("brand"), c("name"), brands))
+    # computed: a plain filter would be pushed into the offers and build the name once per rule
+    rows = tx.computed(offers, {"_wanted": wanted}).where("_wanted").drop("_wanted")
     rows = rows.withColumns({
         "priority": F.when(proven & ~sized, F.lit(1)).when(~proven, F.lit(2)).otherwise(F.lit(3)),
         "page_key": F.lower(F.regexp_replace(c("url"), "[?#].*$", ""))})
