@@ -9,6 +9,7 @@ from ..operators import normalize as no
 from ..operators import ranking as rk
 from ..plans.runs import ab_report, publish_by
 from ..settings import DEFAULT
+from ..storage import stored
 from . import oracle_parts as op
 from .core import COVERAGE_CTES, SNAPSHOT_CTES, _arms, offers, screened  # noqa: F401
 from .registry import query
@@ -202,6 +203,7 @@ def month_reports(spark, d):
             c("l_suppkey") % 3 == 0, F.lit("blocked")).otherwise(F.lit("partial")),
         "technical_path": F.when((c("l_suppkey") % 7 != 0) | (F.substring("run_date", 6, 2) != "03"), F.when(
             c("l_suppkey") % 2 == 0, F.array(F.lit("browser-success"))).otherwise(F.array().cast("array<string>")))})
+    cov = stored(cov, "month-coverage")  # read by the report and beside it
     report = cov.groupBy("run_date").agg(
         F.count(F.lit(1)).alias("attempted_sources"),
         *[F.count_if(c("status") == s).alias(s) for s in ("success", "partial", "browser", "blocked", "failed")],
