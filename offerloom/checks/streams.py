@@ -7,7 +7,7 @@ from ..operators import sinks as sk
 from ..streaming import keyed as ky
 from ..streaming import observations as ob
 from .registry import query
-from .views import table
+from .views import TASKS_PER_CORE, table
 
 c = F.col
 KEYS = ["user_id", "event_type"]
@@ -23,17 +23,25 @@ SEEN = f"""WITH seen AS ({ARRIVED.format(div='//', micros='epoch_us(ts)', events
   edge AS (SELECT max(us) // 1000 - {30 * HOUR // 1000} AS last_ms FROM events_us)""".replace("events_us", "(SELECT epoch_us(ts) AS us FROM events)")
 
 
-def _arrivals(spark, d, batches: int = 3):
-    """A stream of files in order, one per micro-batch."""
+#: Rows of an arrival for every file it is written as.
+ROWS_PER_FILE = 100_000
+
+
+def _arrivals(spark, d, batches: int = 3, rows_per_file: int = ROWS_PER_FILE):
+    """A stream of arrivals in order, one per micro-batch. All have the same number of files, which grows with
+    the smallest of them, so that no arrival is read by one task; so many rows leave no file without any."""
     e = table(spark, d, "events")
     sql = ARRIVED.format(div="div", micros="unix_micros(CAST(ts AS TIMESTAMP))", events="{events}")
     rows = spark.sql(sql, events=e).drop("us", "t1", "t2", "short", "late")
     path = sk.work_folder(spark, "arrivals")
     rows.write.partitionBy("file").parquet(f"{path}/cut")
+    cut = spark.read.parquet(f"{path}/cut")
+    sizes = [cut.where(c("file") == k).count() for k in range(3)]
+    files = max(1, min(min(sizes) // rows_per_file, TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
     for k in range(3):
-        part = spark.read.parquet(f"{path}/cut").where(c("file") == k).drop("file")
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return ob.read_observations(spark, f"{path}/in", part.schema, max_files=1)
+        part = cut.where(c("file") == k).drop("file")
+        part.repartition(files).write.mode("append").parquet(f"{path}/in")
+    return ob.read_observations(spark, f"{path}/in", part.schema, max_files=files)
 
 
 def _started(spark, stream, **more):
