@@ -119,7 +119,8 @@ def links(fps: DataFrame) -> DataFrame:
     cells = _cells(fps)
     live = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").select(
         "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = cells.join(live, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # no broadcast: Catalyst sizes the cells as it does the fingerprints, of which they are some 26 times as many rows
+    rows = cells.hint("merge").join(live, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
     pairs = rows.select("cell", "fp", "home", "own", other)
     lists = pairs.groupBy("cell", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).agg(
