@@ -60,7 +60,7 @@ _NEAR = op.quote(fv.NEAR_REASONS["implausible"])
     WHEN effective_discount_pct < 40 THEN {op.quote(fv.NEAR_REASONS['below_minimum'])} ELSE {op.quote(fv.NEAR_REASONS['check'])} END AS reason
   FROM models WHERE NOT qualifies AND effective_discount_pct >= 30 ORDER BY score DESC, model_seq LIMIT 12""")
 def near_misses(spark, d):
-    return rk.near_of(rk.rank_models(offers(spark, d))).select(
+    return rk.near_of(rk.rank_models(rk.ranked_only(offers(spark, d)))).select(
         "source_id", "offer_key", "model_key", "class", "score", "effective_discount_pct", "reason")
 
 

@@ -265,7 +265,7 @@ PUBLISHED = f"""{MONTHLY}, {op.key_ctes()}, best AS (SELECT * EXCLUDE (rn) FROM
 
 
 def points(spark, d):
-    ranked = rk.rank_models(no.accepted(monthly(spark, d)), 40, ("run_date",))
+    ranked = rk.rank_models(rk.ranked_only(no.accepted(monthly(spark, d)), ("run_date",), ["url"]), 40, ("run_date",))
     runs = table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("run_date")).distinct()
     return hi.history_points(publish_by(ranked, ["run_date"]), runs.withColumn("finished_at", c("run_date")))
 

@@ -111,10 +111,10 @@ RANKED = ["source_id", "size_fit", "rrp_verified", "discount_verified", "discoun
           "product_fit_score", "shipping_known", "score", "effective_cost_eur", "seq"]
 
 
-def ranked_only(offers: DataFrame, scope=()) -> DataFrame:
-    """Offers with nothing but their keys and what ranks them: where models are only counted, the
-    other columns need not travel through both aggregations."""
-    keys = dict.fromkeys([*scope, *RANKED, "offer_key", "model_key"])
+def ranked_only(offers: DataFrame, scope=(), more=()) -> DataFrame:
+    """Offers with nothing but their keys, what ranks them and `more`: where models are only counted, or
+    few columns of them are shown, the others need not travel through both aggregations."""
+    keys = dict.fromkeys([*scope, *RANKED, "offer_key", "model_key", *more])
     return _keyed(offers).select(*keys)
 
 
