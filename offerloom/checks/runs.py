@@ -26,7 +26,7 @@ def write_batches(spark, d):
     path = sk.work_folder(spark, "batches")
     raw = raw_offers(spark, d).withColumn("batch", F.floor(c("l_suppkey") / 6).cast("int")).drop("run_date")
     sk.write_batch(raw.limit(0).unionByName(raw.withColumn("l_partkey", F.lit(-1).cast("bigint"))), path, "2024-01-02")
-    sk.write_batch(raw, path, "2024-01-02")
+    sk.write_batch(raw, path, "2024-01-02", batches=raw.select("batch").distinct())
     return stored(spark, path, "2024-01-02").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("parts"))
 
 
@@ -292,11 +292,11 @@ def feed_stream(spark, d):
 @query("select_deals_stream", f"{op.MODELS} SELECT offer_key, model_key, score FROM models WHERE qualifies")
 def select_deals_stream(spark, d):
     path = sk.work_folder(spark, "deals-stream")
-    raw = raw_offers(spark, d)
-    # four micro-batches, each of as many files as there are tasks to read them
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    raw.repartition(4 * tasks, *SEQ).write.parquet(f"{path}/raw")
-    files = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", tasks).parquet(f"{path}/raw")
+    # four micro-batches, each of as many files as there are tasks to read them; the rows are dealt before they are wide
+    raw = raw_offers(spark, d, 4 * TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    raw.write.parquet(f"{path}/raw")
+    written_files = len(spark.read.schema(raw.schema).parquet(f"{path}/raw").inputFiles())
+    files = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", max(1, -(-written_files // 4))).parquet(f"{path}/raw")
     stream = no.normalize_offers(files, rates=written(fx_rates(spark, d), "rates"))  # read by every micro-batch
     ob.select_deals_stream(stream, f"{path}/best", f"{path}/checkpoint").awaitTermination()
     return ob.stream_models(spark.read.parquet(f"{path}/best")).where("qualifies").select("offer_key", "model_key", "score")

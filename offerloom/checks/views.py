@@ -76,29 +76,30 @@ FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_
 SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 
-#: Tasks a core over which the offer rows are dealt.
-TASKS_PER_CORE = 2
+#: Tasks a core over which the offer rows are dealt, and the rows that a task gets at most then.
+TASKS_PER_CORE, ROWS_PER_TASK = 2, 1_000_000
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """The rows of a table over at least TASKS_PER_CORE tasks a core. A row group is read by one task, and the
-    rules that follow cost far more than reading; a table that Spark cuts finely enough is left as it is."""
-    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+def dealt(df: DataFrame, least: int = 0) -> DataFrame:
+    """The rows of a table over at least TASKS_PER_CORE tasks a core, and at least `least` tasks. A row group is
+    read by one task, and the rules that follow cost far more than reading; a table that Spark cuts finely enough
+    is left as it is. Tasks hold few enough rows for what they sort to stay in memory."""
+    tasks = max(least, TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(tasks, -(-df.count() // ROWS_PER_TASK))) if df.rdd.getNumPartitions() < tasks else df
 
 
-def shared(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run one of the shared SQL texts over the tables it names."""
+def shared(spark: SparkSession, sf_dir: str, sql: str, least: int = 0) -> DataFrame:
+    """Run one of the shared SQL texts over the tables it names; offer rows come in at least `least` tasks."""
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
     if "lineitem" in used:
-        used["lineitem"] = dealt(used["lineitem"])
+        used["lineitem"] = dealt(used["lineitem"], least)
     return spark.sql(sql, **used)
 
 
-def raw_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_offers(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
     """lineitem as raw offers. `seq` (the order of observation) is a struct, because no
     single column orders the rows totally; shipping and doubles keep the reference types."""
-    d = shared(spark, sf_dir, RAW_SQL)
+    d = shared(spark, sf_dir, RAW_SQL, least)
     return d.withColumns({"seq": F.struct(*SEQ), "shipping": F.col("shipping").cast("double"),
                           "observed_discount_pct": F.col("observed_discount_pct").cast("double")})
 

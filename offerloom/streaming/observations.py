@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..operators import sinks as sk
+from ..storage import free_shuffles
 
 c = F.col
 TTL = f"{fv.SNAPSHOT_MAX_AGE_HOURS} hours"
@@ -129,7 +130,9 @@ def select_deals_stream(offers: DataFrame, path: str, checkpoint: str, trigger:
     from ..operators.ranking import best_per_offer
 
     def save(batch: DataFrame, batch_id: int):
-        sk.replace_partitions(best_per_offer(batch).withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"])
+        # one partition, whose rows the aggregation has already dealt by offer
+        sk.replace_partitions(best_per_offer(batch).withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"], rebalance=False)
+        free_shuffles(batch.sparkSession)
     return (offers.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
             .trigger(**(trigger or {"availableNow": True})).start())
 
